@@ -233,7 +233,7 @@ KINDS: dict[str, tuple[str, Callable[[str, Move], str | None]]] = {
     "date": (r"(?<![\w./-])(?:\d{4}-\d{1,2}-\d{1,2}|\d{4}/\d{1,2}/\d{1,2}|\d{1,2}[/.-]\d{1,2}[/.-]\d{4})(?![\w/-])(?!\.\d)", _date),
 }
 _PATTERN = re.compile("|".join(f"(?P<{k}>{p})" for k, (p, _) in KINDS.items()), re.ASCII)
-_MAY = re.compile(r"[@=0-9]")
+_MAY = re.compile(r"[@=0-9]|A[KS]IA")
 
 
 class Pseudonymiser:
