@@ -10,7 +10,7 @@ several distinct pages are found, and blocks that these cover are dropped; the u
 
 A null page counts as empty; it has an empty text. A null url makes a host of its own. Repeated rows
 are distinct pages only if their blocks differ. Other columns are not read. An empty table gives an
-empty one. A hot host is dealt to several tasks in groups of pages.
+empty one. A hot host is dealt to several tasks, in groups of pages.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import blocks, shuffle_width, tune
+from tessella.llm.common import blocks, tune
 
 #: Tokens of the shortest run that counts; distinct pages it must stand on; pages of a group and its characters.
 DEPTH, PAGES, GROUP, GROUP_CHARS = 8, 3, 256, 8 << 20
@@ -198,31 +198,31 @@ def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_c
 
     parsed = pages.mapInArrow(read, f"page_id {id_kind}, url string, blocks array<string>, marked boolean")
     host = F.lower(F.coalesce(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
-    sizes = pages.select(host.alias("host")).groupBy("host").agg(F.count("*").alias("pages"))
-    dealt = parsed.withColumn("host", host).join(sizes, "host").withColumn("part", F.xxhash64("page_id", "url") % F.ceil(F.col("pages") / GROUP))
+    # one exchange, by host; Spark splits the partition of a hot host
+    dealt = parsed.withColumn("host", host).select("host", "page_id", "url", "blocks", "marked").hint("rebalance", F.col("host"))
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-        group, size = None, 0
+        group, size, id_type = None, 0, None
 
         def close() -> Iterator[pa.RecordBatch]:
             repeated = covered([r[2] for r in held])
             texts = ["\n\n".join(b for b, gone in zip(r[2], c, strict=True) if r[3] or not gone) for r, c in zip(held, repeated, strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in held], batch.schema.field(2).type), pa.array([r[1] for r in held], pa.string()), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
+                [pa.array([r[0] for r in held], id_type), pa.array([r[1] for r in held], pa.string()), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
                 names=["page_id", "url", "text", "n_chars"],
             )
 
         for batch in batches:
-            for h, part, page_id, url, own, marked in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
-                if held and ((h, part) != group or size > GROUP_CHARS):
+            id_type = batch.schema.field(1).type
+            for h, page_id, url, own, marked in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                if held and (h != group or len(held) >= GROUP or size > GROUP_CHARS):
                     yield from close()
                     held, size = [], 0
-                group = h, part
+                group = h
                 held.append((page_id, url, own, marked))
                 size += sum(map(len, own))
         if held:
             yield from close()
 
-    ordered = dealt.select("host", "part", "page_id", "url", "blocks", "marked").repartition(shuffle_width(spark), "host", "part").sortWithinPartitions("host", "part")
-    return ordered.mapInArrow(decide, f"page_id {id_kind}, url string, text string, n_chars long")
+    return dealt.sortWithinPartitions("host", "page_id").mapInArrow(decide, f"page_id {id_kind}, url string, text string, n_chars long")
