@@ -1,4 +1,6 @@
-"""Queries over tables viewed as rasters, and SQL that says the same."""
+"""All queries: importing the modules registers them."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from tessella.plans import planning, raster, requests  # noqa: F401
+from tessella.plans.registry import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
