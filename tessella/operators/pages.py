@@ -57,10 +57,13 @@ LABELS = {"rgb": ["R", "G", "B"], "cmyk": ["C", "M", "Y", "K"], "ycbcr": ["Y", "
 
 def labels(kind_: Column, spp: Column, alpha: Column) -> Column:
     """Names of all samples: the kind's, then A for alpha, then S and the number."""
+    def extra(n: int) -> Column:
+        numbers = F.when(spp > n, F.sequence(F.lit(n), F.greatest(spp - 1, F.lit(n)))).otherwise(F.array().cast("array<int>"))
+        return F.transform(numbers, lambda i: F.when(alpha & (i == n), F.lit("A")).otherwise(F.concat(F.lit("S"), i.cast("string"))))
+
     out = F.lit("")
     for name, own in LABELS.items():
-        extra = F.transform(F.when(spp > len(own), F.sequence(F.lit(len(own)), F.greatest(spp - 1, F.lit(len(own))))).otherwise(F.array().cast("array<int>")), lambda i, n=len(own): F.when(alpha & (i == n), F.lit("A")).otherwise(F.concat(F.lit("S"), i.cast("string"))))
-        out = F.when(kind_ == name, F.concat_ws(" ", F.array(*map(F.lit, own)), extra)).otherwise(out)
+        out = F.when(kind_ == name, F.concat_ws(" ", F.array(*map(F.lit, own)), extra(len(own)))).otherwise(out)
     return out
 
 

@@ -59,8 +59,8 @@ def stale_drop(spark: S, d: str) -> DataFrame:
     return R.current(_q(spark, d), "viewer", "generation").select("event_id", "viewer", "generation")
 
 
-@query(f"""SELECT viewer, max(ms) AS fires, count(*) AS events FROM (SELECT viewer, ms, sum(new) OVER (PARTITION BY viewer ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS burst FROM (SELECT viewer, ts, event_id, epoch_ms(ts) AS ms,
-    CASE WHEN coalesce(epoch_ms(ts) - lag(epoch_ms(ts)) OVER (PARTITION BY viewer ORDER BY ts, event_id), 600000) >= 600000 THEN 1 ELSE 0 END AS new FROM {_Q} q)) GROUP BY viewer, burst""")
+@query(f"""SELECT viewer, max(ms) AS fires, count(*) AS events FROM (SELECT viewer, ms, sum(new) OVER (PARTITION BY viewer ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS burst FROM (SELECT viewer, ts, event_id, (epoch_us(ts) // 1000) AS ms,
+    CASE WHEN coalesce((epoch_us(ts) // 1000) - lag((epoch_us(ts) // 1000)) OVER (PARTITION BY viewer ORDER BY ts, event_id), 600000) >= 600000 THEN 1 ELSE 0 END AS new FROM {_Q} q)) GROUP BY viewer, burst""")
 def debounce_sessions(spark: S, d: str) -> DataFrame:
     return R.debounce(_q(spark, d), "viewer", "ts", 600_000).select("viewer", "fires", "events")
 
