@@ -83,7 +83,8 @@ def masks(level: int, radius: int = RADIUS) -> list[int]:
 
 def forest(fps: np.ndarray, radius: int = RADIUS) -> list[tuple[int, int]]:
     """(root, member) links that join what is linked among distinct fingerprints."""
-    near = np.bitwise_count(fps[:, None] ^ fps[None, :]) <= radius
+    bits = fps.view(np.uint64)  # of signed numbers numpy would count the bits of the absolute value
+    near = np.bitwise_count(bits[:, None] ^ bits[None, :]) <= radius
     left = np.ones(len(fps), bool)
     out = []
     for seed in range(len(fps)):
@@ -134,7 +135,7 @@ def _bucket_links(level: int, radius: int) -> Callable[[Iterator[pa.RecordBatch]
             two = np.flatnonzero(sizes == 2)
             two = two[(two > 0) & (two < len(starts) - 1)]
             a, b = fp[starts[two]], fp[starts[two] + 1]
-            near = (np.bitwise_count(a ^ b) <= radius) & (a != b)
+            near = (np.bitwise_count((a ^ b).view(np.uint64)) <= radius) & (a != b)
             if near.any():
                 yield links(np.stack([a[near], b[near]], axis=1))
             loose = np.flatnonzero((sizes > 2) | (np.arange(len(starts)) == 0) | (np.arange(len(starts)) == len(starts) - 1))
