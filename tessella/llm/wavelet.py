@@ -46,10 +46,10 @@ class WaveletMatrix:
             packed = np.packbits(one)
             planes.append(packed)
             ranks.append(cls._directory(packed))
-            low = seq[~one]
+            low = seq.take(np.flatnonzero(~one))
             zeros.append(len(low))
             if level < levels - 1:
-                seq = np.concatenate([low, seq[one]])
+                seq = np.concatenate([low, seq.take(np.flatnonzero(one))])
         return cls(len(ids), planes, zeros, ranks)
 
     @staticmethod
@@ -124,8 +124,8 @@ class WaveletMatrix:
             one = np.unpackbits(self.planes[level], count=self.n).view(bool)
             z = self.zeros[level]
             up = np.empty_like(out)
-            up[~one] = out[:z]
-            up[one] = out[z:] | out.dtype.type(1 << (levels - 1 - level))
+            up[np.flatnonzero(~one)] = out[:z]
+            up[np.flatnonzero(one)] = out[z:] | out.dtype.type(1 << (levels - 1 - level))
             out = up
         return out
 
