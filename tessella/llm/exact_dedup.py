@@ -26,7 +26,7 @@ from tessella.llm.common import save, shuffle_width, tune
 #: Bytes of text that a task splits at once.
 BLOCK = 48 << 20
 #: A group of more rows is split by further bytes before rows are exchanged.
-LARGE_GROUP = 16_384
+LARGE_GROUP = 1024
 FIRST_DIGIT, LAST_DIGIT = 32, 1024
 
 
