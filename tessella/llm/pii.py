@@ -123,8 +123,15 @@ def _phone(v: str, move: Move) -> str | None:
         return _fill(v, code + str(move(int(rest), 10 ** len(rest), b"phone")).zfill(len(rest)))
     lead = digits[:-10]
     own = digits[-10:]
-    if len(own) != 10 or lead not in ("", "1") or own[0] in "01" or own[3] in "01":
+    if len(own) != 10 or lead not in ("", "1"):
         return None
+    if own[0] in "01" or own[3] in "01":  # no number of the plan, but written as one with its country code: among such
+        if not v.startswith("+"):
+            return None
+        rank = move(int(own), 10**10, b"odd")
+        while str(rank).zfill(10)[0] not in "01" and str(rank).zfill(10)[3] not in "01":
+            rank = move(rank, 10**10, b"odd")
+        return _fill(v, lead + str(rank).zfill(10))
     rank = ((int(own[:3]) - 200) * 800 + int(own[3:6]) - 200) * 10_000 + int(own[6:])
     rank = move(rank, 800 * 800 * 10_000, b"nanp")
     area, rest = divmod(rank, 800 * 10_000)
