@@ -101,7 +101,8 @@ class WaveletMatrix:
         return start, end
 
     def count(self, token: int, start: int = 0, end: int | None = None) -> int:
-        a, b = self._range(token, start, self.n if end is None else end)
+        start = min(max(start, 0), self.n)
+        a, b = self._range(token, start, self.n if end is None else max(start, min(end, self.n)))
         return b - a
 
     def locate(self, token: int, k: int) -> int:
