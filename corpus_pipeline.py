@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import exact_dedup, packing, pii, quality, simhash
+from tessella.llm import exact_dedup, near_text, packing, pii, quality
 from tessella.llm.common import save, table
 from tessella.llm.queries import tokenizer_path
 
@@ -24,8 +24,9 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def _only(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """Rows of the ids kept. Rows that repeat an id differ in text, or one of them was chosen: each id stays once."""
-    return docs.join(kept.select("doc_id").distinct(), "doc_id", "left_semi").select(*docs.columns)
+    """Rows of the ids kept, a null id among them."""
+    ids = kept.select(F.col("doc_id").alias("kept_id")).distinct()
+    return docs.join(ids, docs.doc_id.eqNullSafe(ids.kept_id), "left_semi").select(*docs.columns)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,8 +35,10 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each SimHash component."""
-    return _only(docs, simhash.near_duplicates(docs).where("doc_id = component_id"))
+    """One document, that of the smallest id, of each group whose five-word shingles are alike by 0.8 or more."""
+    found = near_text.similar_documents(docs).where("node <> root").select("node")
+    node = F.coalesce(docs.doc_id.cast("long"), F.lit(near_text.LOWEST))
+    return docs.join(found, node == found.node, "left_anti").select(*docs.columns)
 
 
 def hide_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
