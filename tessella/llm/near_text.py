@@ -23,8 +23,10 @@ from pyspark.sql import functions as F
 from tessella.llm.common import blocks, save, shuffle_width, tune
 from tessella.llm.simhash import components
 
-WORDS, SIMILARITY, RADIUS, ACCEPT = 5, 0.8, 6, 9
-#: Orders of fingerprints, in turn by table, that say who leads: a document meets other leaders in other tables.
+WORDS, SIMILARITY, RADIUS, ACCEPT = 5, 0.8, 6, 8
+#: A candidate's sets are compared in full if one sixteenth of them, by hash, is within so many deviations of the likeness asked for.
+SHARE, DEVIATIONS = 16, 4
+#: Orders of fingerprints, in turn by bucket, that say who leads: a document meets other leaders in other buckets.
 ORDERS = 8
 LOWEST = -(1 << 63)
 #: Distinct words whose digests a worker keeps.
@@ -138,19 +140,23 @@ def similar_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, "text"):
             sets = [np.fromiter(s := shingles(t, words), np.int32, len(s)) for t in block.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([block.column(0), pa.array(sets, pa.list_(pa.int32()))], names=["node", "shingles"])
+            some = [x[x % SHARE == 0] for x in sets]
+            yield pa.RecordBatch.from_arrays(
+                [block.column(0), pa.array([len(x) for x in sets], pa.int32()), pa.array(some, pa.list_(pa.int32())), pa.array(sets, pa.list_(pa.int32()))], names=["node", "n", "some", "shingles"]
+            )
 
     prints = save(rows.mapInArrow(fingerprint, "node long, fp long"), "words")
     classes = save(prints.groupBy("fp").agg(F.min("node").alias("rep")), "word-classes")
     keys = classes.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks(radius)])).alias("v", "key"))
-    dealt = keys.select(F.xxhash64("v", "key").alias("path"), "fp", F.xxhash64(F.col("v") % ORDERS, "fp").alias("turn")).repartition(shuffle_width(spark), "path").sortWithinPartitions("path", "turn").select("path", "fp")
+    dealt = keys.select(F.xxhash64("v", "key").alias("path"), "fp").repartition(shuffle_width(spark), "path")
+    dealt = dealt.sortWithinPartitions("path", F.xxhash64(F.col("path") % ORDERS, "fp"))
     stars = dealt.mapInArrow(_stars, "a long, b long").distinct()
     rep = lambda c: classes.select(F.col("fp").alias(c), F.col("rep").alias(f"{c}_node"))
     between = stars.join(rep("a"), "a").join(rep("b"), "b").select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
     within = prints.join(classes, "fp").where("node <> rep").select(F.col("rep").alias("a"), F.col("node").alias("b"))
     pairs = save(between.union(within).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "candidates")
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    sets = rows.join(nodes, "node", "left_semi").mapInArrow(cut, "node long, shingles array<int>")
+    sets = rows.join(nodes, "node", "left_semi").mapInArrow(cut, "node long, n int, some array<int>, shingles array<int>")
     sets = save(sets, "shingles")
     one = lambda c: sets.select(F.col("node").alias(c), F.col("shingles").alias(f"{c}_set"))
     both = F.size(F.array_intersect("a_set", "b_set"))
@@ -159,6 +165,14 @@ def similar_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def alike(some: DataFrame) -> DataFrame:
         return some.join(one("a"), "a").join(one("b"), "b").where((either == 0) | (both >= F.lit(similarity) * either)).select("a", "b")
 
+    # sizes, and the small part of the sets, tell most candidates that are no links
+    small = lambda c: sets.select(F.col("node").alias(c), F.col("n").alias(f"{c}_n"), F.col("some").alias(f"{c}_some"))
+    seen = F.size(F.array_intersect("a_some", "b_some"))
+    of_all = F.size("a_some") + F.size("b_some") - seen
+    likely = seen >= F.lit(similarity) * of_all - F.lit(DEVIATIONS * (similarity * (1 - similarity)) ** 0.5) * F.sqrt(of_all)
+    fits = F.least("a_n", "b_n") >= F.lit(similarity) * F.greatest("a_n", "b_n")
+    pairs = save(pairs.join(small("a"), "a").join(small("b"), "b").where(fits & likely).select("a", "b"), "likely")
+
     # first one candidate of each document, then all others that would join what is still apart
     first = pairs.groupBy("b").agg(F.min_by("a", F.xxhash64("a")).alias("a")).select("a", "b")
     linked = save(alike(first), "linked")
