@@ -31,7 +31,7 @@ from tessella.llm.common import blocks, tune
 LONG_PIECE = 2048
 LEAF = 512
 #: A worker forgets its pieces beyond this number; this bounds memory and changes no result.
-MOST_PIECES = 500_000
+MOST_PIECES = 300_000
 #: Characters of a text that are split at once.
 SEGMENT = 1 << 20
 

@@ -16,11 +16,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
 
 from tessella.llm.common import blocks, save, shuffle_width, tune
 from tessella.llm.simhash import components
@@ -34,7 +32,7 @@ LOWEST = -(1 << 63)
 #: Bits of the bitmap that picks documents with candidates (1 MB).
 BITMAP = 1 << 23
 #: Distinct words whose digests a worker keeps.
-MOST_WORDS = 300_000
+MOST_WORDS = 150_000
 
 
 class _Digests(dict):
@@ -129,19 +127,13 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield give(np.concatenate(found_a), np.concatenate(found_b))
 
 
-def _one_of(nodes: DataFrame):
-    """A test for hashes of nodes by a bitmap of fixed size: texts of other documents need no exchange. Hashes that meet only cost time."""
+def _bitmap(nodes: DataFrame) -> np.ndarray:
+    """The hashes of nodes as a bitmap of fixed size. Hashes that meet only cost time."""
     place = nodes.select(F.pmod(F.xxhash64("node"), F.lit(BITMAP)).alias("k")).groupBy(F.floor(F.col("k") / 64).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(k % 64 AS int))")).alias("bits"))
     bitmap = np.zeros(BITMAP // 64, np.int64)
     for r in place.collect():  # BITMAP / 64 rows at most
         bitmap[r["word"]] = r["bits"]
-
-    @pandas_udf("boolean")
-    def test(hashes: pd.Series) -> pd.Series:
-        k = hashes.to_numpy() % BITMAP
-        return pd.Series((bitmap[k >> 6] >> (k & 63) & 1).astype(bool))
-
-    return test
+    return bitmap
 
 
 def similar_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
@@ -158,6 +150,8 @@ def similar_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, "text"):
+            k = np.asarray(block.column(2))
+            block = block.filter(pa.array((bitmap[k >> 6] >> (k & 63) & 1).astype(bool)))
             sets = [np.fromiter(s := shingles(t, words), np.int32, len(s)) for t in block.column(1).to_pylist()]
             some = [x[x % SHARE == 0] for x in sets]
             yield pa.RecordBatch.from_arrays(
@@ -175,7 +169,8 @@ def similar_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     within = prints.join(classes, "fp").where("node <> rep").select(F.col("rep").alias("a"), F.col("node").alias("b"))
     pairs = save(between.union(within).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "candidates")
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    sets = rows.where(_one_of(nodes)(F.xxhash64("node"))).mapInArrow(cut, "node long, n int, some array<int>, shingles array<int>")
+    bitmap = _bitmap(nodes)  # texts of documents without candidates need no exchange
+    sets = rows.withColumn("k", F.pmod(F.xxhash64("node"), F.lit(BITMAP))).mapInArrow(cut, "node long, n int, some array<int>, shingles array<int>")
     sets = save(sets, "shingles")
     one = lambda c: sets.select(F.col("node").alias(c), F.col("shingles").alias(f"{c}_set"))
     both = F.size(F.array_intersect("a_set", "b_set"))

@@ -27,7 +27,7 @@ TRAIN_ROWS, EPOCHS = 6000, 4
 #: FTRL: step, smoothing, and the two penalties.
 ALPHA, BETA, L1, L2 = 2.0, 1.0, 0.02, 0.02
 #: Distinct words that a worker keeps at most.
-MOST_WORDS = 400_000
+MOST_WORDS = 200_000
 
 
 def shape(word: str) -> str:
