@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import blocks, tune
+from tessella.llm.common import blocks, claim, tune
 
 #: Pieces of more characters are encoded by tree concatenation, from leaves of this length.
 LONG_PIECE = 2048
@@ -202,6 +202,7 @@ class Encoder:
                 self._ids_of_rank = np.array([real.get(r, 0) for r in sorted(dense)], np.uint32)
                 self._line = dense[10_000_010]
                 self._quick = tiktoken.Encoding("pieces", pat_str=r"[^\n]+|\n", mergeable_ranks={k: dense[r] for k, r in ranks.items()}, special_tokens={})
+            self._models = self._spec = self._merges = None  # made again when a long piece comes
         return self._quick
 
     def _long(self, piece: str) -> list[int]:
@@ -324,7 +325,9 @@ _ENCODERS: dict[str, Encoder] = {}
 
 def encoder(path: str) -> Encoder:
     """One encoder for each file and worker."""
+    claim("bpe", _ENCODERS.clear)
     if path not in _ENCODERS:
+        _ENCODERS.clear()
         _ENCODERS[path] = Encoder(path)
     return _ENCODERS[path]
 

@@ -117,6 +117,26 @@ def read_whole(uri: str) -> bytes:
         return f.read()
 
 
+_HELD: dict[str, Callable[[], None]] = {}
+
+
+def claim(name: str, free: Callable[[], None]) -> None:
+    """A worker keeps the caches of one operator at a time: those of others are freed."""
+    others = [k for k in _HELD if k != name]
+    for k in others:
+        _HELD.pop(k)()
+    _HELD[name] = free
+    if others:
+        import ctypes
+        import gc
+
+        gc.collect()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (OSError, AttributeError):  # not glibc
+            pass
+
+
 Mapper = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import blocks, save, shuffle_width, tune
+from tessella.llm.common import blocks, claim, save, shuffle_width, tune
 from tessella.llm.simhash import components
 
 WORDS, SIMILARITY, RADIUS, ACCEPT = 5, 0.8, 6, 8
@@ -143,6 +143,7 @@ def similar_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LOWEST)).alias("node"), F.col(text_col).cast("string").cast("binary").alias("text"))
 
     def fingerprint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("near_text", _DIGESTS.clear)
         for block in blocks(batches, "text"):
             if len(_DIGESTS) > MOST_WORDS:
                 _DIGESTS.clear()

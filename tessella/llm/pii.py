@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import blocks, tune
+from tessella.llm.common import blocks, claim, tune
 
 #: A key for tests and benchmarks. Give your own, and keep it apart from the data.
 KEY = b"a key for tests, not for real data"
@@ -250,7 +250,7 @@ class Pseudonymiser:
         def move(rank: int, size: int, tweak: bytes) -> int:
             return permute(rank, size, key, tweak, back)
 
-        self.one = lru_cache(1 << 16)(lambda kind, value: KINDS[kind][1](value, move))
+        self.one = lru_cache(1 << 14)(lambda kind, value: KINDS[kind][1](value, move))
 
     def apply(self, text: str) -> tuple[str, list[tuple[int, int, str]]]:
         """The new text, and start, end and kind of each value in the text before. A value keeps its length, but for IPv4 octets and short days."""
@@ -288,6 +288,7 @@ def pseudonymise(df: DataFrame, key: bytes = KEY, id_col: str = "doc_id", text_c
     name = source.columns[at]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("pii", _MAKERS.clear)
         maker = _MAKERS.setdefault(key, Pseudonymiser(key))
         for block in blocks(batches, name):
             texts, counts, kinds = [], [], []

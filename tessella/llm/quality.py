@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import blocks, tune
+from tessella.llm.common import blocks, claim, tune
 
 DIM = 1 << 18
 #: Labelled documents that training reads at most, by the order of a hash of their ids; passes over them.
@@ -59,6 +59,11 @@ class _Words(dict):
 _WORDS = _Words()
 
 
+def _forget() -> None:
+    global _WORDS
+    _WORDS = _Words()
+
+
 def _mix(a: np.ndarray, b: np.ndarray, salt: int) -> np.ndarray:
     x = (a * np.uint64(0x9E3779B97F4A7C15) + b) ^ np.uint64(salt)
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -68,6 +73,7 @@ def _mix(a: np.ndarray, b: np.ndarray, salt: int) -> np.ndarray:
 def features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Feature numbers of all texts in a row, the value of each, and the number of each text's."""
     global _WORDS
+    claim("quality", _forget)
     if len(_WORDS) > MOST_WORDS:
         _WORDS = _Words()
     lists = [(t or "").split() for t in texts]
