@@ -6,9 +6,9 @@ radius together in some table. In a bucket each member goes to the nearest leade
 or becomes a leader, so a bucket never gives more candidates than it has members. A candidate is a
 link if the Jaccard likeness of the whole sets of five-word shingles is at least 0.8.
 
-Null texts count as empty; texts without words are alike. Rows of one id are one document, the
-distinct words and shingles of all its rows together; null ids are one document too. Other columns are
-not read. An empty table gives an empty one.
+Null texts count as empty; texts without words are alike. Rows of one id are one document, which has
+the links of each of its rows; null ids are one document too. Other columns are not read. An empty
+table gives an empty one.
 """
 
 from __future__ import annotations
@@ -82,15 +82,15 @@ def masks(radius: int = RADIUS) -> list[int]:
 
 
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (path, fp) sorted by path and a fixed order of fingerprints. Gives (leader, member)."""
+    """Rows (path, fp, node) sorted by path and a fixed order of fingerprints. Gives the nodes of (leader, member)."""
     path_now: int | None = None
-    leaders = np.zeros(0, np.uint64)
+    leaders, heads = np.zeros(0, np.uint64), np.zeros(0, np.int64)
 
     def give(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(a.astype(np.int64)), pa.array(b.astype(np.int64))], names=["a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     for batch in batches:
-        path, fp = np.asarray(batch.column(0)), np.asarray(batch.column(1)).view(np.uint64)
+        path, fp, node = np.asarray(batch.column(0)), np.asarray(batch.column(1)).view(np.uint64), np.asarray(batch.column(2))
         if not len(path):
             continue
         starts = np.concatenate([[0], np.flatnonzero(path[1:] != path[:-1]) + 1])
@@ -98,31 +98,30 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         edge = np.zeros(len(starts), bool)
         edge[[0, -1]] = True  # these may go on in another batch
         two = np.flatnonzero((sizes == 2) & ~edge)
-        a, b = fp[starts[two]], fp[starts[two] + 1]
-        near = np.bitwise_count(a ^ b) <= ACCEPT
-        if near.any():
-            yield give(a[near], b[near])
+        two = two[np.bitwise_count(fp[starts[two]] ^ fp[starts[two] + 1]) <= ACCEPT]
+        if len(two):
+            yield give(node[starts[two]], node[starts[two] + 1])
         found_a, found_b = [], []
         for k in np.flatnonzero((sizes > 2) | edge):
             s, n = starts[k], sizes[k]
             if int(path[s]) != path_now:
-                path_now, leaders = int(path[s]), np.zeros(0, np.uint64)
-            members = fp[s : s + n]
+                path_now, leaders, heads = int(path[s]), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+            members, names = fp[s : s + n], node[s : s + n]
             while len(members):
                 if not len(leaders):
-                    leaders, members = members[:1], members[1:]
+                    leaders, heads, members, names = members[:1], names[:1], members[1:], names[1:]
                     continue
                 some = members[: max(1, (1 << 20) // len(leaders))]
                 far = np.bitwise_count(some[:, None] ^ leaders[None, :])
                 at = far.argmin(axis=1)
                 near = far[np.arange(len(some)), at] <= ACCEPT
                 first = int(np.argmin(near)) if not near.all() else len(some)  # the first that leads itself
-                found_a.append(leaders[at[:first]])
-                found_b.append(some[:first])
+                found_a.append(heads[at[:first]])
+                found_b.append(names[:first])
                 if first < len(some):
-                    leaders = np.append(leaders, some[first])
+                    leaders, heads = np.append(leaders, some[first]), np.append(heads, names[first])
                     first += 1
-                members = members[first:]
+                members, names = members[first:], names[first:]
         if found_a:
             yield give(np.concatenate(found_a), np.concatenate(found_b))
 
@@ -161,14 +160,12 @@ def similar_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     prints = save(rows.mapInArrow(fingerprint, "node long, fp long"), "words")
     classes = save(prints.groupBy("fp").agg(F.min("node").alias("rep")), "word-classes")
-    keys = classes.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks(radius)])).alias("v", "key"))
-    dealt = keys.select(F.xxhash64("v", "key").alias("path"), "fp").repartition(shuffle_width(spark), "path")
+    keys = classes.select("fp", "rep", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks(radius)])).alias("v", "key"))
+    dealt = keys.select(F.xxhash64("v", "key").alias("path"), "fp", "rep").repartition(shuffle_width(spark), "path")
     dealt = dealt.sortWithinPartitions("path", F.xxhash64(F.col("path") % ORDERS, "fp"))
-    stars = dealt.mapInArrow(_stars, "a long, b long").distinct()
-    rep = lambda c: classes.select(F.col("fp").alias(c), F.col("rep").alias(f"{c}_node"))
-    between = stars.join(rep("a"), "a").join(rep("b"), "b").select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
+    between = dealt.mapInArrow(_stars, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     within = prints.join(classes, "fp").where("node <> rep").select(F.col("rep").alias("a"), F.col("node").alias("b"))
-    pairs = save(between.union(within).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "candidates")
+    pairs = save(between.union(within).where("a <> b").distinct(), "candidates")  # rep is the least of its class
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     bitmap = _bitmap(nodes)  # texts of documents without candidates need no exchange
     sets = rows.withColumn("k", F.pmod(F.xxhash64("node"), F.lit(BITMAP))).mapInArrow(cut, "node long, n int, some array<int>, shingles array<int>")
