@@ -2,9 +2,11 @@
 
 Here the fingerprint is of a text's distinct words, which an edit moves by few bits and which lies far
 from other texts' fingerprints; the covering family of radius ``RADIUS`` brings every pair in that
-radius together in some table. In a bucket each member goes to the nearest leader within ``ACCEPT`` bits,
-or becomes a leader, so a bucket never gives more candidates than it has members. A candidate is a
-link if the Jaccard likeness of the whole sets of five-word shingles is at least 0.8.
+radius together in some table. A second fingerprint, of the distinct shingles, goes along and says who
+is nearest there. In a bucket each member goes to the nearest leader, or becomes a leader, and of each
+run of rows also to its two nearest and to the middle one: at most four candidates a member, within
+``ACCEPT`` bits of the first and ``BOTH`` bits of both fingerprints. A candidate is a link if the
+Jaccard likeness of the whole sets of five-word shingles is at least 0.8.
 
 Null texts count as empty; texts without words are alike. Rows of one id are one document, which has
 the links of each of its rows; null ids are one document too. Other columns are not read. An empty
@@ -23,12 +25,16 @@ from pyspark.sql import functions as F
 from tessella.llm.common import blocks, claim, save, shuffle_width, tune
 from tessella.llm.simhash import components
 
-WORDS, SIMILARITY, RADIUS, ACCEPT = 5, 0.8, 6, 8
+WORDS, SIMILARITY, RADIUS, ACCEPT, BOTH = 5, 0.8, 6, 12, 34
+#: Rows of a bucket that are compared with one another.
+RUN = 512
 #: A candidate's sets are compared in full if one sixteenth of them, by hash, is within so many deviations of the likeness asked for.
 SHARE, DEVIATIONS = 16, 4
 #: Orders of fingerprints, in turn by bucket, that say who leads: a document meets other leaders in other buckets.
 ORDERS = 4
 LOWEST = -(1 << 63)
+#: Stands for all distances beyond the bounds.
+FAR = 255
 #: Bits of the bitmap that picks documents with candidates (1 MB).
 BITMAP = 1 << 23
 #: Distinct words whose digests a worker keeps.
@@ -71,6 +77,17 @@ def shingles(text: bytes | None, words: int = WORDS) -> set[int]:
     return {xxh32_intdigest(line[a:b]) - (1 << 31) for a, b in zip(starts, (ends[words - 1 :] - 1).tolist(), strict=True)}
 
 
+def shingle_fingerprint(made: np.ndarray) -> int:
+    """64-bit SimHash of distinct shingles' 32-bit hashes, which are mixed to 64 bits, as a signed long."""
+    if not len(made):
+        return 0
+    x = made.astype(np.uint64)
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+    bits = np.unpackbits((x ^ (x >> np.uint64(33))).view(np.uint8).reshape(-1, 8), axis=1)
+    return int(np.packbits(2 * bits.sum(axis=0, dtype=np.int64) > len(made)).view(">i8")[0])
+
+
 def masks(radius: int = RADIUS) -> list[int]:
     """A covering family as signed longs: of some draws of codes, the one whose smallest mask is largest."""
     best: tuple[int, list[int]] = (-1, [])
@@ -81,48 +98,81 @@ def masks(radius: int = RADIUS) -> list[int]:
     return [m - (1 << 64) if m >> 63 else m for m in best[1]]
 
 
+def _apart(fp: np.ndarray, fp2: np.ndarray, to: np.ndarray, to2: np.ndarray) -> np.ndarray:
+    """Differing bits of both fingerprints, all rows against ``to``; ``FAR`` beyond the bounds."""
+    first = np.bitwise_count(fp[:, None] ^ to[None, :])
+    total = first + np.bitwise_count(fp2[:, None] ^ to2[None, :])
+    total[(first > ACCEPT) | (total > BOTH)] = FAR
+    return total
+
+
+def _near_rows(fp: np.ndarray, fp2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of candidates among rows of a bucket: each with its two nearest and with the row in the middle."""
+    n = len(fp)
+    apart = _apart(fp, fp2, fp, fp2)
+    apart[np.arange(n), np.arange(n)] = FAR
+    mid = np.full(n, int(apart.sum(axis=1, dtype=np.int64).argmin()))
+    at = np.arange(n)
+    if n > 3:
+        two = np.argpartition(apart, 1, axis=1)[:, :2]
+        a, b = np.concatenate([at, at, at]), np.concatenate([two[:, 0], two[:, 1], mid])
+    else:
+        a, b = np.concatenate([at, at]), np.concatenate([apart.argmin(axis=1), mid])
+    some = apart[a, b] < FAR
+    return a[some], b[some]
+
+
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (path, fp, node) sorted by path and a fixed order of fingerprints. Gives the nodes of (leader, member)."""
+    """Rows (path, fp, fp2, node) sorted by path and a fixed order of fingerprints. Gives the nodes of candidates."""
     path_now: int | None = None
-    leaders, heads = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    none, no_heads = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    leaders, leaders2, heads = none, none, no_heads
 
     def give(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+        pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
 
     for batch in batches:
-        path, fp, node = np.asarray(batch.column(0)), np.asarray(batch.column(1)).view(np.uint64), np.asarray(batch.column(2))
+        path, node = np.asarray(batch.column(0)), np.asarray(batch.column(3))
+        fp, fp2 = (np.asarray(batch.column(i)).view(np.uint64) for i in (1, 2))
         if not len(path):
             continue
         starts = np.concatenate([[0], np.flatnonzero(path[1:] != path[:-1]) + 1])
         sizes = np.diff(np.concatenate([starts, [len(path)]]))
         edge = np.zeros(len(starts), bool)
         edge[[0, -1]] = True  # these may go on in another batch
-        two = np.flatnonzero((sizes == 2) & ~edge)
-        two = two[np.bitwise_count(fp[starts[two]] ^ fp[starts[two] + 1]) <= ACCEPT]
-        if len(two):
-            yield give(node[starts[two]], node[starts[two] + 1])
-        found_a, found_b = [], []
+        two = starts[np.flatnonzero((sizes == 2) & ~edge)]
+        first = np.bitwise_count(fp[two] ^ fp[two + 1])
+        two = two[(first <= ACCEPT) & (first + np.bitwise_count(fp2[two] ^ fp2[two + 1]) <= BOTH)]
+        found_a, found_b = [node[two]], [node[two + 1]]
         for k in np.flatnonzero((sizes > 2) | edge):
-            s, n = starts[k], sizes[k]
+            s, n = int(starts[k]), int(sizes[k])
             if int(path[s]) != path_now:
-                path_now, leaders, heads = int(path[s]), np.zeros(0, np.uint64), np.zeros(0, np.int64)
-            members, names = fp[s : s + n], node[s : s + n]
-            while len(members):
-                if not len(leaders):
-                    leaders, heads, members, names = members[:1], names[:1], members[1:], names[1:]
-                    continue
-                some = members[: max(1, (1 << 20) // len(leaders))]
-                far = np.bitwise_count(some[:, None] ^ leaders[None, :])
-                at = far.argmin(axis=1)
-                near = far[np.arange(len(some)), at] <= ACCEPT
-                first = int(np.argmin(near)) if not near.all() else len(some)  # the first that leads itself
-                found_a.append(heads[at[:first]])
-                found_b.append(names[:first])
-                if first < len(some):
-                    leaders, heads = np.append(leaders, some[first]), np.append(heads, names[first])
-                    first += 1
-                members, names = members[first:], names[first:]
-        if found_a:
+                path_now, leaders, leaders2, heads = int(path[s]), none, none, no_heads
+            for at in range(s, s + n, RUN):
+                rows = slice(at, min(at + RUN, s + n))
+                members, members2, names = fp[rows], fp2[rows], node[rows]
+                if len(members) > 1:
+                    a, b = _near_rows(members, members2)
+                    found_a.append(names[a])
+                    found_b.append(names[b])
+                while len(members):
+                    if not len(leaders):
+                        leaders, leaders2, heads = members[:1], members2[:1], names[:1]
+                        members, members2, names = members[1:], members2[1:], names[1:]
+                        continue
+                    some = max(1, (1 << 20) // len(leaders))
+                    apart = _apart(members[:some], members2[:some], leaders, leaders2)
+                    nearest = apart.argmin(axis=1)
+                    near = apart[np.arange(len(apart)), nearest] < FAR
+                    own = int(np.argmin(near)) if not near.all() else len(near)  # the first that leads itself
+                    found_a.append(heads[nearest[:own]])
+                    found_b.append(names[:own])
+                    if own < len(near):
+                        leaders, leaders2, heads = np.append(leaders, members[own]), np.append(leaders2, members2[own]), np.append(heads, names[own])
+                        own += 1
+                    members, members2, names = members[own:], members2[own:], names[own:]
+        if sum(map(len, found_a)):
             yield give(np.concatenate(found_a), np.concatenate(found_b))
 
 
@@ -146,7 +196,9 @@ def similar_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
         for block in blocks(batches, "text"):
             if len(_DIGESTS) > MOST_WORDS:
                 _DIGESTS.clear()
-            yield pa.RecordBatch.from_arrays([block.column(0), pa.array([word_fingerprint(t) for t in block.column(1).to_pylist()], pa.int64())], names=["node", "fp"])
+            texts = block.column(1).to_pylist()
+            second = [shingle_fingerprint(np.fromiter(x := shingles(t, words), np.int32, len(x))) for t in texts]
+            yield pa.RecordBatch.from_arrays([block.column(0), pa.array([word_fingerprint(t) for t in texts], pa.int64()), pa.array(second, pa.int64())], names=["node", "fp", "fp2"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, "text"):
@@ -158,13 +210,13 @@ def similar_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 [block.column(0), pa.array([len(x) for x in sets], pa.int32()), pa.array(some, pa.list_(pa.int32())), pa.array(sets, pa.list_(pa.int32()))], names=["node", "n", "some", "shingles"]
             )
 
-    prints = save(rows.mapInArrow(fingerprint, "node long, fp long"), "words")
-    classes = save(prints.groupBy("fp").agg(F.min("node").alias("rep")), "word-classes")
-    keys = classes.select("fp", "rep", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks(radius)])).alias("v", "key"))
-    dealt = keys.select(F.xxhash64("v", "key").alias("path"), "fp", "rep").repartition(shuffle_width(spark), "path")
-    dealt = dealt.sortWithinPartitions("path", F.xxhash64(F.col("path") % ORDERS, "fp"))
-    between = dealt.mapInArrow(_stars, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    within = prints.join(classes, "fp").where("node <> rep").select(F.col("rep").alias("a"), F.col("node").alias("b"))
+    prints = save(rows.mapInArrow(fingerprint, "node long, fp long, fp2 long"), "words")
+    classes = save(prints.groupBy("fp", "fp2").agg(F.min("node").alias("rep")), "word-classes")
+    keys = classes.select("fp", "fp2", "rep", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks(radius)])).alias("v", "key"))
+    dealt = keys.select(F.xxhash64("v", "key").alias("path"), "fp", "fp2", "rep").repartition(shuffle_width(spark), "path")
+    dealt = dealt.sortWithinPartitions("path", F.xxhash64(F.col("path") % ORDERS, "fp", "fp2"))
+    between = dealt.mapInArrow(_stars, "a long, b long")
+    within = prints.join(classes, ["fp", "fp2"]).where("node <> rep").select(F.col("rep").alias("a"), F.col("node").alias("b"))
     pairs = save(between.union(within).where("a <> b").distinct(), "candidates")  # rep is the least of its class
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     bitmap = _bitmap(nodes)  # texts of documents without candidates need no exchange
