@@ -314,6 +314,24 @@ def test_hot_group_of_near_copies(spark):
     assert len(found) == 1500 and set(found.values()) == {0}
 
 
+def test_near_text_finds_variants_that_only_their_original_joins(spark):
+    rng = random.Random(5)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    original = rng.sample(vocabulary, 240)
+    texts = [" ".join(original)]
+    for _ in range(40):
+        own = list(original)
+        for at in rng.sample(range(5, 235, 10), 4):
+            own[at] = rng.choice(vocabulary)
+        texts.append(" ".join(own))
+    sets = [near_text.shingles(t.encode()) for t in texts]
+    likeness = lambda a, b: len(a & b) / len(a | b)
+    assert all(likeness(sets[0], s) >= 0.8 for s in sets[1:])
+    assert any(likeness(a, b) < 0.8 for k, a in enumerate(sets) for b in sets[:k])
+    found = {r.node: r.root for r in near_text.similar_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert found == dict.fromkeys(range(len(texts)), 0)
+
+
 def test_wide_masks_cover():
     rng = random.Random(1)
     family = [m & (1 << 64) - 1 for m in near_text.masks()]
