@@ -3,10 +3,12 @@
 Here the fingerprint is of a text's distinct words, which an edit moves by few bits and which lies far
 from other texts' fingerprints; the covering family of radius ``RADIUS`` brings every pair in that
 radius together in some table. A second fingerprint, of the distinct shingles, goes along and says who
-is nearest there. In a bucket each member goes to the nearest leader, or becomes a leader, and of each
-run of rows also to its two nearest and to the middle one: at most four candidates a member, within
-``ACCEPT`` bits of the first and ``BOTH`` bits of both fingerprints. A candidate is a link if the
-Jaccard likeness of the whole sets of five-word shingles is at least 0.8.
+is nearest there. A candidate is within ``ACCEPT`` bits of the first and ``BOTH`` bits of both
+fingerprints, and is a link if the Jaccard likeness of the whole sets of five-word shingles is at least
+0.8. In a bucket each member first goes to the nearest leader, or becomes a leader, and of each run of
+rows also to its two nearest and to the middle one; the links of these join most of a group. Then all
+candidates of a bucket whose components are still apart are compared, however large the bucket is, so
+what is found does not depend on who leads and where runs are cut.
 
 Null texts count as empty; texts without words are alike. Rows of one id are one document, which has
 the links of each of its rows; null ids are one document too. Other columns are not read. An empty
@@ -15,7 +17,7 @@ table gives an empty one.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +28,7 @@ from tessella.llm.common import blocks, claim, save, shuffle_width, tune
 from tessella.llm.simhash import components
 
 WORDS, SIMILARITY, RADIUS, ACCEPT, BOTH = 5, 0.8, 6, 12, 34
-#: Rows of a bucket that are compared with one another.
+#: Rows of a bucket that are compared with one another at first.
 RUN = 512
 #: A candidate's sets are compared in full if one sixteenth of them, by hash, is within so many deviations of the likeness asked for.
 SHARE, DEVIATIONS = 16, 4
@@ -123,17 +125,18 @@ def _near_rows(fp: np.ndarray, fp2: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (path, fp, fp2, node) sorted by path and a fixed order of fingerprints. Gives the nodes of candidates."""
+    """Rows (path, fp, fp2, node, v) sorted by path and a fixed order of fingerprints. Gives the nodes of candidates; and rows (path, v, node) of buckets that may have more."""
     path_now: int | None = None
     none, no_heads = np.zeros(0, np.uint64), np.zeros(0, np.int64)
     leaders, leaders2, heads = none, none, no_heads
 
     def give(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
         pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
+        none = pa.nulls(pairs.shape[1])
+        return pa.RecordBatch.from_arrays([none.cast(pa.int64()), none.cast(pa.int32()), pa.array(pairs[0]), pa.array(pairs[1])], names=["path", "v", "a", "b"])
 
     for batch in batches:
-        path, node = np.asarray(batch.column(0)), np.asarray(batch.column(3))
+        path, node, table = (np.asarray(batch.column(i)) for i in (0, 3, 4))
         fp, fp2 = (np.asarray(batch.column(i)).view(np.uint64) for i in (1, 2))
         if not len(path):
             continue
@@ -174,6 +177,56 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     members, members2, names = members[own:], members2[own:], names[own:]
         if sum(map(len, found_a)):
             yield give(np.concatenate(found_a), np.concatenate(found_b))
+        more = np.repeat((sizes > 2) | edge, sizes)
+        if more.any():
+            yield pa.RecordBatch.from_arrays([pa.array(path[more]), pa.array(table[more]), pa.array(node[more]), pa.nulls(int(more.sum()), pa.int64())], names=["path", "v", "a", "b"])
+
+
+def _still_apart(family: list[int]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows (path, v, root, fp, fp2, node) sorted by path. Gives all candidates of a bucket whose roots differ, each pair in the first table that brings it together."""
+    keep = np.array([m & (1 << 64) - 1 for m in family], np.uint64)
+
+    def compare(v: int, root: np.ndarray, fp: np.ndarray, fp2: np.ndarray, node: np.ndarray) -> Iterator[pa.RecordBatch]:
+        roots, at, counts = np.unique(root, return_inverse=True, return_counts=True)
+        if len(roots) < 2:
+            return
+        main = at == counts.argmax()
+        others, place = np.flatnonzero(~main), np.arange(len(root))
+        some = max(1, (1 << 20) // len(root))
+        for k in range(0, len(others), some):
+            own = others[k : k + some]
+            near = (_apart(fp[own], fp2[own], fp, fp2) < FAR) & (at[own][:, None] != at[None, :]) & (main[None, :] | (place[None, :] > own[:, None]))
+            i, j = np.nonzero(near)
+            i = own[i]
+            for m in keep[:v]:  # pairs of an earlier table
+                left = (fp[i] ^ fp[j]) & m != 0
+                i, j = i[left], j[left]
+            if len(i):
+                a, b = node[i], node[j]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+
+        def close() -> Iterator[pa.RecordBatch]:
+            if held:
+                _, v, root, fp, fp2, node = map(np.concatenate, zip(*held, strict=True))
+                yield from compare(int(v[0]), root, fp.view(np.uint64), fp2.view(np.uint64), node)
+
+        for batch in batches:
+            columns = [np.asarray(c) for c in batch.columns]
+            path = columns[0]
+            if not len(path):
+                continue
+            edges = [0, *(np.flatnonzero(path[1:] != path[:-1]) + 1).tolist(), len(path)]
+            for s, e in zip(edges, edges[1:], strict=False):
+                if held and int(held[0][0][0]) != int(path[s]):
+                    yield from close()
+                    held = []
+                held.append([c[s:e] for c in columns])
+        yield from close()
+
+    return run
 
 
 def _bitmap(nodes: DataFrame) -> np.ndarray:
@@ -192,13 +245,19 @@ def similar_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LOWEST)).alias("node"), F.col(text_col).cast("string").cast("binary").alias("text"))
 
     def fingerprint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh64_intdigest
+
         claim("near_text", _DIGESTS.clear)
         for block in blocks(batches, "text"):
             if len(_DIGESTS) > MOST_WORDS:
                 _DIGESTS.clear()
             texts = block.column(1).to_pylist()
-            second = [shingle_fingerprint(np.fromiter(x := shingles(t, words), np.int32, len(x))) for t in texts]
-            yield pa.RecordBatch.from_arrays([block.column(0), pa.array([word_fingerprint(t) for t in texts], pa.int64()), pa.array(second, pa.int64())], names=["node", "fp", "fp2"])
+            sets = [np.fromiter(x := shingles(t, words), np.int32, len(x)) for t in texts]
+            second = [shingle_fingerprint(x) for x in sets]
+            same = [xxh64_intdigest(np.sort(x).tobytes()) - (1 << 63) for x in sets]
+            yield pa.RecordBatch.from_arrays(
+                [block.column(0), pa.array([word_fingerprint(t) for t in texts], pa.int64()), pa.array(second, pa.int64()), pa.array(same, pa.int64())], names=["node", "fp", "fp2", "same"]
+            )
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, "text"):
@@ -210,15 +269,19 @@ def similar_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 [block.column(0), pa.array([len(x) for x in sets], pa.int32()), pa.array(some, pa.list_(pa.int32())), pa.array(sets, pa.list_(pa.int32()))], names=["node", "n", "some", "shingles"]
             )
 
-    prints = save(rows.mapInArrow(fingerprint, "node long, fp long, fp2 long"), "words")
-    classes = save(prints.groupBy("fp", "fp2").agg(F.min("node").alias("rep")), "word-classes")
-    keys = classes.select("fp", "fp2", "rep", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks(radius)])).alias("v", "key"))
-    dealt = keys.select(F.xxhash64("v", "key").alias("path"), "fp", "fp2", "rep").repartition(shuffle_width(spark), "path")
+    prints = save(rows.mapInArrow(fingerprint, "node long, fp long, fp2 long, same long"), "words")
+    family = masks(radius)
+    # a class has one set of shingles, so its least node stands for it in every comparison
+    classes = save(prints.groupBy("fp", "fp2", "same").agg(F.min("node").alias("rep")), "word-classes")
+    keys = classes.select("fp", "fp2", "rep", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in family])).alias("v", "key"))
+    dealt = keys.select(F.xxhash64("v", "key").alias("path"), "fp", "fp2", "rep", "v").repartition(shuffle_width(spark), "path")
     dealt = dealt.sortWithinPartitions("path", F.xxhash64(F.col("path") % ORDERS, "fp", "fp2"))
-    between = dealt.mapInArrow(_stars, "a long, b long")
-    within = prints.join(classes, ["fp", "fp2"]).where("node <> rep").select(F.col("rep").alias("a"), F.col("node").alias("b"))
+    dealt = save(dealt.mapInArrow(_stars, "path long, v int, a long, b long"), "buckets")
+    between = dealt.where("path IS NULL").select("a", "b")
+    within = prints.join(classes, ["fp", "fp2", "same"]).where("node <> rep").select(F.col("rep").alias("a"), F.col("node").alias("b"))
     pairs = save(between.union(within).where("a <> b").distinct(), "candidates")  # rep is the least of its class
-    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    more = dealt.where("path IS NOT NULL").select("path", "v", F.col("a").alias("rep"))
+    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(more.select("rep")).distinct()
     bitmap = _bitmap(nodes)  # texts of documents without candidates need no exchange
     sets = rows.withColumn("k", F.pmod(F.xxhash64("node"), F.lit(BITMAP))).mapInArrow(cut, "node long, n int, some array<int>, shingles array<int>")
     sets = save(sets, "shingles")
@@ -235,7 +298,11 @@ def similar_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     of_all = F.size("a_some") + F.size("b_some") - seen
     likely = seen >= F.lit(similarity) * of_all - F.lit(DEVIATIONS * (similarity * (1 - similarity)) ** 0.5) * F.sqrt(of_all)
     fits = F.least("a_n", "b_n") >= F.lit(similarity) * F.greatest("a_n", "b_n")
-    pairs = save(pairs.join(small("a"), "a").join(small("b"), "b").where(fits & likely).select("a", "b"), "likely")
+
+    def fitting(some: DataFrame) -> DataFrame:
+        return some.join(small("a"), "a").join(small("b"), "b").where(fits & likely).select("a", "b")
+
+    pairs = save(fitting(pairs), "likely")
 
     # first one candidate of each document, then all others that would join what is still apart
     first = pairs.groupBy("b").agg(F.min_by("a", F.xxhash64("a")).alias("a")).select("a", "b")
@@ -244,4 +311,12 @@ def similar_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     of = lambda c: root.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
     apart = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b"))
     rest = apart.select("a", "b").join(first, ["a", "b"], "left_anti")
-    return components(linked.union(alike(rest)))
+    linked = save(linked.union(alike(rest)), "linked")
+    root = save(components(linked), "second-roots")
+
+    # then every candidate of the buckets whose components are still apart
+    members = more.join(classes, "rep").join(root.withColumnRenamed("node", "rep"), "rep", "left")
+    members = members.select("path", "v", F.coalesce("root", "rep").alias("root"), "fp", "fp2", F.col("rep").alias("node"))
+    members = members.repartition(shuffle_width(spark), "path").sortWithinPartitions("path")
+    left = members.mapInArrow(_still_apart(family), "a long, b long")
+    return components(linked.union(alike(save(fitting(left), "left"))))

@@ -332,6 +332,25 @@ def test_near_text_finds_variants_that_only_their_original_joins(spark):
     assert found == dict.fromkeys(range(len(texts)), 0)
 
 
+def test_near_text_compares_a_large_bucket_whole(spark):
+    """More variants than a run has rows, alike to their original only: all within the radius are found."""
+    rng = random.Random(5)
+    vocabulary = [f"w{i}" for i in range(5000)]
+    original = rng.sample(vocabulary, 500)
+    texts = []
+    for _ in range(2 * near_text.RUN):
+        own = list(original)
+        for at in rng.sample(range(5, 495, 10), 10):
+            own[at] = rng.choice(vocabulary)
+        texts.append(" ".join(own))
+    texts.append(" ".join(original))
+    prints = [near_text.word_fingerprint(t.encode()) for t in texts]
+    near = [i for i, p in enumerate(prints) if ((p ^ prints[-1]) & (1 << 64) - 1).bit_count() <= near_text.RADIUS]
+    found = {r.node: r.root for r in near_text.similar_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert len(near) > near_text.RUN
+    assert [i for i in near if i not in found] == [] and len({found[i] for i in near}) == 1
+
+
 def test_wide_masks_cover():
     rng = random.Random(1)
     family = [m & (1 << 64) - 1 for m in near_text.masks()]
