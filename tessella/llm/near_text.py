@@ -30,8 +30,8 @@ from tessella.llm.simhash import components
 WORDS, SIMILARITY, RADIUS, ACCEPT, BOTH = 5, 0.8, 6, 12, 34
 #: Rows of a bucket that are compared with one another at first.
 RUN = 512
-#: A candidate's sets are compared in full if one sixteenth of them, by hash, is within so many deviations of the likeness asked for.
-SHARE, DEVIATIONS = 16, 4
+#: Bits of a set's sketch: the parity of its hashes in each of so many places. Sketches differ in no more bits than the sets in members.
+SKETCH = 2048
 #: Orders of fingerprints, in turn by bucket, that say who leads: a document meets other leaders in other buckets.
 ORDERS = 4
 LOWEST = -(1 << 63)
@@ -90,6 +90,12 @@ def shingle_fingerprint(made: np.ndarray) -> int:
     return int(np.packbits(2 * bits.sum(axis=0, dtype=np.int64) > len(made)).view(">i8")[0])
 
 
+def sketch(made: np.ndarray) -> np.ndarray:
+    """Parities of the distinct hashes by place, as longs."""
+    odd = np.bincount(made & (SKETCH - 1), minlength=SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def masks(radius: int = RADIUS) -> list[int]:
     """A covering family as signed longs: of some draws of codes, the one whose smallest mask is largest."""
     best: tuple[int, list[int]] = (-1, [])
@@ -264,9 +270,9 @@ def similar_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
             k = np.asarray(block.column(2))
             block = block.filter(pa.array((bitmap[k >> 6] >> (k & 63) & 1).astype(bool)))
             sets = [np.fromiter(s := shingles(t, words), np.int32, len(s)) for t in block.column(1).to_pylist()]
-            some = [x[x % SHARE == 0] for x in sets]
+            some = [sketch(x) for x in sets]
             yield pa.RecordBatch.from_arrays(
-                [block.column(0), pa.array([len(x) for x in sets], pa.int32()), pa.array(some, pa.list_(pa.int32())), pa.array(sets, pa.list_(pa.int32()))], names=["node", "n", "some", "shingles"]
+                [block.column(0), pa.array([len(x) for x in sets], pa.int32()), pa.array(some, pa.list_(pa.int64())), pa.array(sets, pa.list_(pa.int32()))], names=["node", "n", "sketch", "shingles"]
             )
 
     prints = save(rows.mapInArrow(fingerprint, "node long, fp long, fp2 long, same long"), "words")
@@ -283,7 +289,7 @@ def similar_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     more = dealt.where("path IS NOT NULL").select("path", "v", F.col("a").alias("rep"))
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(more.select("rep")).distinct()
     bitmap = _bitmap(nodes)  # texts of documents without candidates need no exchange
-    sets = rows.withColumn("k", F.pmod(F.xxhash64("node"), F.lit(BITMAP))).mapInArrow(cut, "node long, n int, some array<int>, shingles array<int>")
+    sets = rows.withColumn("k", F.pmod(F.xxhash64("node"), F.lit(BITMAP))).mapInArrow(cut, "node long, n int, sketch array<long>, shingles array<int>")
     sets = save(sets, "shingles")
     one = lambda c: sets.select(F.col("node").alias(c), F.col("shingles").alias(f"{c}_set"))
     both = F.size(F.array_intersect("a_set", "b_set"))
@@ -292,17 +298,16 @@ def similar_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def alike(some: DataFrame) -> DataFrame:
         return some.join(one("a"), "a").join(one("b"), "b").where((either == 0) | (both >= F.lit(similarity) * either)).select("a", "b")
 
-    # sizes, and the small part of the sets, tell most candidates that are no links
-    small = lambda c: sets.select(F.col("node").alias(c), F.col("n").alias(f"{c}_n"), F.col("some").alias(f"{c}_some"))
-    seen = F.size(F.array_intersect("a_some", "b_some"))
-    of_all = F.size("a_some") + F.size("b_some") - seen
-    likely = seen >= F.lit(similarity) * of_all - F.lit(DEVIATIONS * (similarity * (1 - similarity)) ** 0.5) * F.sqrt(of_all)
+    # sizes and sketches tell most candidates that are no links, and never a link
+    small = lambda c: sets.select(F.col("node").alias(c), F.col("n").alias(f"{c}_n"), F.col("sketch").alias(f"{c}_sketch"))
+    differ = F.aggregate(F.zip_with("a_sketch", "b_sketch", lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("int")), F.lit(0), lambda n, x: n + x)
+    possible = differ * F.lit(1 + similarity) <= (F.col("a_n") + F.col("b_n")) * F.lit(1 - similarity) + F.lit(0.001)
     fits = F.least("a_n", "b_n") >= F.lit(similarity) * F.greatest("a_n", "b_n")
 
     def fitting(some: DataFrame) -> DataFrame:
-        return some.join(small("a"), "a").join(small("b"), "b").where(fits & likely).select("a", "b")
+        return some.join(small("a"), "a").join(small("b"), "b").where(fits & possible).select("a", "b")
 
-    pairs = save(fitting(pairs), "likely")
+    pairs = save(fitting(pairs), "possible")
 
     # first one candidate of each document, then all others that would join what is still apart
     first = pairs.groupBy("b").agg(F.min_by("a", F.xxhash64("a")).alias("a")).select("a", "b")

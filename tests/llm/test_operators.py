@@ -351,6 +351,21 @@ def test_near_text_compares_a_large_bucket_whole(spark):
     assert [i for i in near if i not in found] == [] and len({found[i] for i in near}) == 1
 
 
+def test_near_text_sketches_reject_no_link():
+    """Sets of 0.8 likeness and more differ in few enough bits, whatever the sizes and hashes."""
+    rng = np.random.RandomState(9)
+    for _ in range(2000):
+        every = rng.randint(-(1 << 31), 1 << 31, rng.randint(1, 4000)).astype(np.int32)
+        if rng.rand() < 0.2:  # hashes that meet in few places
+            every &= ~np.int32(near_text.SKETCH - 2)
+        every = rng.permutation(np.unique(every))
+        kept = -(-8 * len(every) // 10)  # of all members
+        cut = rng.randint(0, len(every) - kept + 1)
+        a, b = every[: kept + cut], np.concatenate([every[:kept], every[kept + cut :]])
+        differ = int(np.bitwise_count((near_text.sketch(a) ^ near_text.sketch(b)).view(np.uint64)).sum())
+        assert differ <= len(np.setxor1d(a, b)) and differ * 1.8 <= (len(a) + len(b)) * 0.2 + 0.001
+
+
 def test_wide_masks_cover():
     rng = random.Random(1)
     family = [m & (1 << 64) - 1 for m in near_text.masks()]
