@@ -1,16 +1,17 @@
-"""Operator 9: main text of web pages, with a host suffix array.
+"""Operator 9: main text of web pages, with the repeated runs of a host.
 
 A page is read as blocks of text with the marks of their elements. What elements or their class, id
 and role name as menus, headers, footers, sidebars, notices, adverts, forms, comments and the like is
 no text. Where a page marks its article, the article's remaining blocks are its text: passages that
 articles share stay, as a repeated run can't tell a quoted passage or a second copy of an article from
-boilerplate. For pages that mark none, the token streams of a host's pages are joined, the suffixes
-are sorted (by prefix doubling to ``DEPTH`` tokens), runs of ``DEPTH`` and more tokens that stand on
-several distinct pages are found, and blocks that these cover are dropped; the unique ones stay.
+boilerplate. For pages that mark none, the distinct pages of the host that hold each run of ``DEPTH``
+tokens are counted over the whole host, by 128-bit hashes, and blocks covered by runs that stand on
+several distinct pages are dropped; the unique ones stay. ``covered`` says the same of pages in memory,
+by suffix ranks (prefix doubling).
 
 A null page counts as empty; it has an empty text. A null url makes a host of its own. Repeated rows
 are distinct pages only if their blocks differ. Other columns are not read. An empty table gives an
-empty one. A hot host is dealt to several tasks, in groups of pages.
+empty one. A hot host is dealt to several tasks by its runs; pages that mark their article are not.
 """
 
 from __future__ import annotations
@@ -24,10 +25,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import blocks, tune
+from tessella.llm.common import blocks, save, tune
 
-#: Tokens of the shortest run that counts; distinct pages it must stand on; pages of a group and its characters.
-DEPTH, PAGES, GROUP, GROUP_CHARS = 8, 3, 256, 8 << 20
+#: Tokens of the shortest run that counts; distinct pages it must stand on.
+DEPTH, PAGES = 8, 3
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
 _ATTR = re.compile(r"([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
@@ -184,6 +185,33 @@ def covered(pages: list[list[str]], depth: int = DEPTH, least: int = PAGES) -> l
     return [found[k] for k in of]
 
 
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (page, host, blocks). Gives each run of a page once, hashed with the host, and where it starts."""
+    from xxhash import xxh128_digest
+
+    for batch in batches:
+        for page, host, own in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            words = " ".join(own).encode().split(b" ")
+            places: dict[bytes, list[int]] = {}
+            name = host.encode() + b"\n"
+            for k in range(len(words) - DEPTH + 1):
+                places.setdefault(xxh128_digest(name + b" ".join(words[k : k + DEPTH])), []).append(k)
+            if places:
+                yield pa.RecordBatch.from_arrays([pa.array([page] * len(places)), pa.array(list(places), pa.binary()), pa.array(list(places.values()), pa.list_(pa.int32()))], names=["page", "run", "starts"])
+
+
+def _bare(own: list[str], starts: list[int] | None) -> str:
+    """The blocks that runs at these places don't cover."""
+    sizes = np.array([b.count(" ") + 1 for b in own], np.int64)
+    ends = np.cumsum(sizes)
+    change = np.zeros(int(ends[-1]) + 1 if len(own) else 1, np.int64)
+    at = np.array(starts or [], np.int64)
+    np.add.at(change, at, 1)
+    np.add.at(change, at + DEPTH, -1)
+    bare = np.concatenate([[0], np.cumsum(np.cumsum(change[:-1]) == 0)])  # tokens not covered, before each place
+    return "\n\n".join(b for b, e, n in zip(own, ends.tolist(), sizes.tolist(), strict=True) if bare[e] > bare[e - n])
+
+
 def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Per page: page_id, url, text (blocks joined by an empty line), n_chars."""
     spark = df.sparkSession
@@ -196,33 +224,20 @@ def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_c
             made = [page_blocks(h or "") for h in block.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([block.column(0), block.column(1), pa.array([b for b, _ in made], pa.list_(pa.string())), pa.array([m for _, m in made], pa.bool_())], names=["page_id", "url", "blocks", "marked"])
 
-    parsed = pages.mapInArrow(read, f"page_id {id_kind}, url string, blocks array<string>, marked boolean")
-    host = F.lower(F.coalesce(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
-    # one exchange, by host; Spark splits the partition of a hot host
-    dealt = parsed.withColumn("host", host).select("host", "page_id", "url", "blocks", "marked").hint("rebalance", F.col("host"))
-
-    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        group, size, id_type = None, 0, None
-
-        def close() -> Iterator[pa.RecordBatch]:
-            repeated = covered([r[2] for r in held])
-            texts = ["\n\n".join(b for b, gone in zip(r[2], c, strict=True) if r[3] or not gone) for r, c in zip(held, repeated, strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in held], id_type), pa.array([r[1] for r in held], pa.string()), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
-                names=["page_id", "url", "text", "n_chars"],
-            )
-
+    def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            id_type = batch.schema.field(1).type
-            for h, page_id, url, own, marked in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-                if held and (h != group or len(held) >= GROUP or size > GROUP_CHARS):
-                    yield from close()
-                    held, size = [], 0
-                group = h
-                held.append((page_id, url, own, marked))
-                size += sum(map(len, own))
-        if held:
-            yield from close()
-
-    return dealt.sortWithinPartitions("host", "page_id").mapInArrow(decide, f"page_id {id_kind}, url string, text string, n_chars long")
+            texts = [_bare(own, starts) for own, starts in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
+
+    parsed = save(pages.mapInArrow(read, f"page_id {id_kind}, url string, blocks array<string>, marked boolean"), "pages")
+    host = F.lower(F.coalesce(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
+    named = parsed.withColumn("host", host).withColumn("page", F.md5(F.concat_ws("\n", "host", "blocks")))  # blocks hold no line ends
+    out = parsed.where("marked").select("page_id", "url", F.array_join("blocks", "\n\n").alias("text"))
+    bare = named.where("NOT marked")
+    if not bare.isEmpty():
+        distinct = named.join(bare.select("host").distinct(), "host", "left_semi").groupBy("page").agg(F.first("host").alias("host"), F.first("blocks").alias("blocks"))
+        runs = save(distinct.select("page", "host", "blocks").mapInArrow(_runs, "page string, run binary, starts array<int>"), "runs")
+        repeated = runs.groupBy("run").count().where(F.col("count") >= PAGES).select("run")
+        starts = runs.join(repeated, "run", "left_semi").groupBy("page").agg(F.flatten(F.collect_list("starts")).alias("starts"))
+        out = out.union(bare.join(starts, "page", "left").select("page_id", "url", "blocks", "starts").mapInArrow(drop, f"page_id {id_kind}, url string, text string"))
+    return out.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))

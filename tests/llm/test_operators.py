@@ -495,6 +495,23 @@ def test_boilerplate_of_unmarked_pages(spark):
     assert html.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_boilerplate_is_sought_over_the_whole_host(spark):
+    """Runs on few pages of a large host, with its pages in any partitions; equal pages count as one."""
+    rng = random.Random(8)
+    shared = [" ".join(f"s{k}x{i}" for i in range(10)) for k in range(60)]
+    pages = [[f"{shared[k % 60]}", " ".join(f"p{rng.randrange(10**9)}" for _ in range(9))] for k in range(180)]
+    pages += [[" ".join(f"q{rng.randrange(10**9)}" for _ in range(9))] for _ in range(400)]
+    pages += [["twice on one page and again on another " * 2], ["twice on one page and again on another " * 2 + "x"]]
+    pages += [["these words are on three rows but on one distinct page"]] * 3
+    rng.shuffle(pages)
+    pages = [[b.strip() for b in p] for p in pages]
+    rows = [(k, "http://Hot.example/", "".join(f"<p>{b}</p>" for b in p)) for k, p in enumerate(pages)]
+    want = {k: "\n\n".join(b for b, gone in zip(p, c, strict=True) if not gone) for k, (p, c) in enumerate(zip(pages, html.covered(pages), strict=True))}
+    for parts in (1, 7):
+        got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(parts)).collect()}
+        assert got == want and not any(" s" in f" {t}" for t in got.values())
+
+
 def test_covered_runs_by_brute_force():
     rng = random.Random(4)
     pages = [[" ".join(rng.choice("abc") for _ in range(rng.randrange(1, 14))) for _ in range(rng.randrange(4))] for _ in range(60)]
