@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessella.llm import exact_dedup, near_text, packing, pii, quality
@@ -24,18 +24,32 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def _only(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """Rows of the ids kept, a null id among them."""
-    ids = kept.select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(ids, docs.doc_id.eqNullSafe(ids.kept_id), "left_semi").select(*docs.columns)
+    """For each row (doc_id, text_sha256) of ``kept`` one of the rows of that id, which may be null, and text."""
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    digest = F.sha2(F.coalesce(F.translate("text", upper, upper.lower()), F.lit("")).cast("binary"), 256)
+    keys = docs.select("doc_id", digest.alias("digest"))
+    twice = save(keys.groupBy("doc_id", "digest").count().where("count > 1").select(F.col("doc_id").alias("other_id"), "digest"), "repeats")
+
+    def same(ids: DataFrame, name: str):
+        return rows.doc_id.eqNullSafe(ids[name]) & (rows.digest == ids.digest)
+
+    rows = docs.withColumn("digest", digest)
+    wanted = kept.select(F.col("doc_id").alias("kept_id"), F.col("text_sha256").alias("digest"))
+    rows = rows.join(wanted, same(wanted, "kept_id"), "left_semi")
+    if not twice.isEmpty():
+        number = F.row_number().over(Window.partitionBy("doc_id", "digest").orderBy(*docs.columns))
+        many = rows.join(twice, same(twice, "other_id"), "left_semi").withColumn("number", number).where("number = 1")
+        rows = rows.join(twice, same(twice, "other_id"), "left_anti").select(*docs.columns).union(many.select(*docs.columns))
+    return rows.select(*docs.columns)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the largest id, of each group of equal texts."""
+    """One document, that of the largest id, of each group of equal texts; of repeated rows one. Null ids rank below all."""
     return _only(docs, exact_dedup.exact_duplicates(docs).where("kept"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group whose five-word shingles are alike by 0.8 or more."""
+    """One document, that of the smallest id, of each group whose five-word shingles are alike by 0.8 or more. Rows of one id are one document."""
     found = near_text.similar_documents(docs).where("node <> root").select("node")
     node = F.coalesce(docs.doc_id.cast("long"), F.lit(near_text.LOWEST))
     return docs.join(found, node == found.node, "left_anti").select(*docs.columns)

@@ -575,6 +575,23 @@ def test_names_of_queries():
     assert [n.split("_")[0] for n in QUERIES] == [f"op{i}" for i in range(1, 11)] + ["pipeline"]
 
 
+def test_copies_among_rows_of_one_id(spark):
+    """Repeated rows, null ids and ids with several texts: one row of each text stays."""
+    import corpus_pipeline as C
+
+    rows = [(1, "one text", 8), (1, "one text", 8), (2, "two Texts", 9), (2, "two texts", 9), (2, "another", 7), (3, "another", 7)]
+    rows += [(None, "null", 4), (None, "null", 4), (None, "NULL", 4), (None, "one text", 8), (None, None, 0), (None, "", 0), (4, "alone É", 7), (5, "alone é", 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long")
+    got = C.drop_copies(spark, docs, "").collect()
+    fold = lambda t: (t or "").translate(LOW)
+    assert sorted(fold(r.text) for r in got) == sorted({fold(t) for _, t, _ in rows})
+    most = {}
+    for i, t, _ in rows:
+        most[fold(t)] = max(most.get(fold(t), -1), -1 if i is None else i)
+    assert {fold(r.text): -1 if r.doc_id is None else r.doc_id for r in got} == most
+    assert C.drop_copies(spark, docs.limit(0), "").count() == 0
+
+
 @pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.001"), reason="needs the test tables")
 def test_pipeline_against_its_stages_alone(spark):
     """Each stage on its own input, by brute force."""
