@@ -14,6 +14,12 @@ S = SparkSession
 WHOLE = (0, 0, 64, 500)
 
 
+def _whole(spark: S, d: str) -> tuple[int, int, int, int]:
+    """The window of the whole embedding image; the SQL says the same of 500 rows, ``WHOLE``."""
+    most = views.table(spark, d, "embeddings").agg(F.max("vec_id")).first()[0]
+    return WHOLE[0], WHOLE[1], WHOLE[2], WHOLE[3] if most is None else max(WHOLE[3], most + 1)
+
+
 def _rounded(df: DataFrame, *bands: str) -> DataFrame:
     return df.select("ox", "oy", *[F.round(b, 6).alias(b) for b in bands or ("v",)])
 
@@ -24,12 +30,12 @@ def _round_sql(inner: str, bands: str = "v") -> str:
 
 @query(_round_sql(box_sql(E_SQL, WHOLE, (8, 50))))
 def box_mean_exact_division(spark: S, d: str) -> DataFrame:
-    return _rounded(region.box_mean(views.embedding_raster(spark, d), WHOLE, (8, 50), ["v"]))
+    return _rounded(region.box_mean(views.embedding_raster(spark, d), _whole(spark, d), (8, 50), ["v"]))
 
 
 @query(_round_sql(box_sql(E_SQL, WHOLE, (7, 33))))
 def box_mean_uneven(spark: S, d: str) -> DataFrame:
-    return _rounded(region.read_region(views.embedding_raster(spark, d), WHOLE, (7, 33), ["v"]))
+    return _rounded(region.read_region(views.embedding_raster(spark, d), _whole(spark, d), (7, 33), ["v"]))
 
 
 @query(_round_sql(box_sql(E_SQL, (3, 5, 13, 15), (12, 12))))
@@ -45,7 +51,7 @@ def _nearest_sql(window: tuple[int, int, int, int], out: tuple[int, int]) -> str
 
 @query(_nearest_sql(WHOLE, (9, 40)))
 def nearest_downsample(spark: S, d: str) -> DataFrame:
-    return region.nearest(views.embedding_raster(spark, d), WHOLE, (9, 40), ["v"])
+    return region.nearest(views.embedding_raster(spark, d), _whole(spark, d), (9, 40), ["v"])
 
 
 @query(_nearest_sql((10, 20, 17, 31), (25, 40)))
@@ -83,7 +89,7 @@ _REGION = box_sql(E_SQL, WHOLE, (7, 33))
 
 
 def _tone(spark: S, d: str, mode: str) -> DataFrame:
-    cells = region.box_mean(views.embedding_raster(spark, d), WHOLE, (7, 33), ["v"]).withColumn("v", F.round("v", 6))
+    cells = region.box_mean(views.embedding_raster(spark, d), _whole(spark, d), (7, 33), ["v"]).withColumn("v", F.round("v", 6))
     one = stats.stats(cells, ["v"])
     lo, hi = color.tone_range(mode, 32, False, True, True, "lo", "hi", "p02", "p98")
     return stats.with_stats(cells, one).select("ox", "oy", color.to_byte(F.round(color.stretch("v", lo, hi), 6)).alias("gray"))
@@ -203,7 +209,8 @@ def alpha_unassociated(spark: S, d: str) -> DataFrame:
 def point_lookup(spark: S, d: str) -> DataFrame:
     """Points within bounds, one sample each; the others ask for nothing."""
     points = views.table(spark, d, "events").select(F.col("event_id").alias("id"), (F.col("event_id") * 7 % 70).alias("x"), (F.col("event_id") * 13 % 600).alias("y"))
-    inside = points.where("x >= 0 AND x < 64 AND y >= 0 AND y < 500")
+    x0, y0, x1, y1 = _whole(spark, d)
+    inside = points.where(f"x >= {x0} AND x < {x1} AND y >= {y0} AND y < {y1}")
     return inside.join(views.embedding_raster(spark, d), ["x", "y"]).select("id", "x", "y", F.round("v", 6).alias("v"))
 
 
@@ -226,10 +233,10 @@ def packbits_runs(spark: S, d: str) -> DataFrame:
 @query(f"""SELECT round(max(abs(a.v - b.v)), 6) AS max_diff, round(avg(abs(a.v - b.v)), 6) AS mean_diff, count(*) FILTER (WHERE abs(a.v - b.v) > 0.5) AS mismatches
     FROM ({box_sql(E_SQL, WHOLE, (16, 100))}) a JOIN ({_nearest_sql(WHOLE, (16, 100))}) b USING (ox, oy)""")
 def diff_metrics(spark: S, d: str) -> DataFrame:
-    pixels = views.embedding_raster(spark, d)
-    mean = region.box_mean(pixels, WHOLE, (16, 100), ["v"]).withColumnRenamed("v", "a")
+    pixels, whole = views.embedding_raster(spark, d), _whole(spark, d)
+    mean = region.box_mean(pixels, whole, (16, 100), ["v"]).withColumnRenamed("v", "a")
     gap = F.abs(F.col("a") - F.col("v"))
-    both = mean.join(region.nearest(pixels, WHOLE, (16, 100), ["v"]), ["ox", "oy"])
+    both = mean.join(region.nearest(pixels, whole, (16, 100), ["v"]), ["ox", "oy"])
     return both.agg(F.round(F.max(gap), 6).alias("max_diff"), F.round(F.avg(gap), 6).alias("mean_diff"), F.count_if(gap > 0.5).alias("mismatches"))
 
 

@@ -5,6 +5,7 @@ from pathlib import Path
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from tessella.plans.queries import ORACLE_SQL, QUERIES
 
@@ -48,3 +49,20 @@ def test_region_plans_have_no_product(spark, name):
 def test_only_needed_columns_are_read(spark):
     plan = QUERIES["box_mean_uneven"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "label" not in plan.split("ReadSchema")[1][:120]
+
+
+def test_whole_image_grows_with_the_table(spark, tmp_path):
+    """Rows of the image beyond the five hundredth count."""
+    n = 1200
+    pixels = {y: [float(y + x + 10000 * (y >= 500)) for x in range(64)] for y in range(n)}
+    spark.createDataFrame(list(pixels.items()), "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    spark.range(600).select(F.col("id").alias("event_id")).write.parquet(f"{tmp_path}/events.parquet")
+    run = lambda name: QUERIES[name](spark, str(tmp_path)).collect()
+    means = {(r.ox, r.oy): r.v for r in run("box_mean_exact_division")}
+    assert means == pytest.approx({(i, j): sum(sum(pixels[y][8 * i : 8 * i + 8]) for y in range(24 * j, 24 * j + 24)) / 192 for i in range(8) for j in range(50)})
+    assert max(r.oy for r in run("box_mean_uneven") if r.v is not None) == 32 and max(r.v for r in run("box_mean_uneven")) > 1200
+    assert max(r.y for r in run("nearest_downsample")) == 1185 and len(run("nearest_downsample")) == 360
+    for name in ("tone_minmax", "tone_percentile"):
+        assert max(r.gray for r in run(name) if r.oy <= 12) < 20  # the first 472 rows are the dark ones
+    assert len(run("point_lookup")) == sum(k * 7 % 70 < 64 for k in range(600))
+    assert run("diff_metrics")[0].max_diff > 3000  # a cell holds rows 492 to 503
