@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import blocks, shuffle_width, tune, with_shard
+from tessella.llm.common import LOWEST, blocks, by_shard, tune, with_shard
 
 #: Chunk sizes in bytes, and the bits of the masks before and after the normal size.
 LEAST, NORMAL, MOST = 24, 64, 256
@@ -106,16 +106,12 @@ def fingerprint_documents(df: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     spark = df.sparkSession
     tune(spark)
-    width = shuffle_width(spark)
-    lowest = -(1 << 63)
-    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("at", F.coalesce("doc_id", F.lit(lowest)))
-    placed, bounds = with_shard(rows, "at", 4 * width)
+    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("at", F.coalesce("doc_id", F.lit(LOWEST)))
+    placed, bounds, shards = with_shard(rows, "at", F.octet_length("text"))
     # each shard also gets a copy of the first document of the next; a row for each shard
-    least = rows.select(F.min("at").alias("at")).first()["at"]
-    firsts = sorted({least, *bounds}) if least is not None else []
-    shard = [int(np.searchsorted(np.array(bounds, np.int64), x, side="right")) for x in firsts]
-    copies = spark.createDataFrame([(x, shard[k - 1]) for k, x in enumerate(firsts)], "at long, shard int")
-    follow = rows.where(F.col("at").isin(firsts)).groupBy("at").agg(F.min("text").alias("text")).join(F.broadcast(copies), "at")
+    firsts = sorted((r["shard"], r["at"]) for r in placed.groupBy("shard").agg(F.min("at").alias("at")).collect())  # a row for each shard
+    copies = spark.createDataFrame([(at, firsts[k - 1][0]) for k, (_, at) in enumerate(firsts)], "at long, shard int")
+    follow = rows.join(F.broadcast(copies), "at").groupBy("at", "shard").agg(F.min("text").alias("text"))
     both = placed.select("shard", F.lit(False).alias("copy"), "at", "text", "doc_id").union(follow.select("shard", F.lit(True), "at", "text", F.lit(None).cast("long")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,4 +132,4 @@ def fingerprint_documents(df: DataFrame, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], kind) for i, kind in enumerate(kinds)], names=names)
 
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return both.repartition(width, "shard").sortWithinPartitions("shard", "copy", "at", "text").mapInArrow(run, schema)
+    return by_shard(both, shards, "copy", "at", "text").mapInArrow(run, schema)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -11,47 +10,29 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute
 import pyarrow.fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-#: Arrow batches of whole texts stay small; long texts make large batches.
-BATCH_ROWS = 512
+from tessella.storage import shared_folder, work_path
+
+#: Bytes of an Arrow batch; the operators cut batches further themselves.
+BATCH_BYTES = "8m"
+#: Where null ids rank.
+LOWEST = -(1 << 63)
 #: Bytes of text that a Python step holds at once, beside the one longest text.
 BLOCK_BYTES = 4 << 20
 
 
 def tune(spark: SparkSession) -> None:
-    """Bound the rows of an Arrow batch, as texts are long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """Bound an Arrow batch in bytes, as texts are long. Rows of a batch, and so all other queries, stay as they are."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names for checkpoints; one of our own only in local mode without it."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    own = "file://" + tempfile.mkdtemp(prefix="tessella-")
-    spark.sparkContext.setCheckpointDir(own)
-    return spark.sparkContext.getCheckpointDir()
-
-
-def work_path(spark: SparkSession, name: str) -> str:
-    """A new folder under the shared one; Spark's driver deletes it when it ends."""
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = jvm_path.getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.mkdirs(jvm_path)
-    fs.deleteOnExit(jvm_path)
-    return path
-
-
 def drop_path(spark: SparkSession, path: str) -> None:
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
@@ -80,12 +61,28 @@ def blocks(batches: Iterator[pa.RecordBatch], column: str, limit: int = BLOCK_BY
         yield batch.slice(start)
 
 
-def shard_bounds(ids: DataFrame, column: str, shards: int) -> list[int]:
-    """Up to ``shards - 1`` cut values of a long column, in order. The driver gets these alone."""
-    if shards < 2:
-        return []
-    cuts = ids.select(F.percentile_approx(column, [i / shards for i in range(1, shards)], 10 * shards).alias("c")).first()["c"]
-    return sorted(set(cuts or []))
+#: Bytes that a shard aims at; shards at most, whose cuts the driver holds; bytes of a step in weighing rows.
+SHARD_BYTES, MOST_SHARDS, WEIGHT_STEP = 32 << 20, 20_000, 4096
+
+
+def shard_bounds(rows: DataFrame, column: str, size: Column) -> tuple[list[int], int]:
+    """Cut values of a long column, in order, that deal rows to shards by their bytes; and the number of shards.
+
+    A shard gets about ``SHARD_BYTES``, or less where the session asks for more partitions, or more beyond
+    ``MOST_SHARDS``. A value that fills several shards stands in the cuts several times. Nulls rank first.
+    """
+    at = F.coalesce(F.col(column), F.lit(LOWEST))
+    sizes = rows.select(at.alias("at"), F.coalesce(size, F.lit(0)).cast("long").alias("n"))
+    each = sizes.select("at", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("n") / WEIGHT_STEP))).alias("step"))
+    total = F.sum(F.when(F.col("step") == 0, F.col("n")))
+    shards = shuffle_width(rows.sparkSession)
+    for _ in range(2):  # again only where the bytes ask for more shards than the session has partitions
+        cuts, n = each.agg(F.percentile_approx("at", [i / shards for i in range(1, shards)] or [0.5], 10 * shards), total).first()
+        wanted = min(MOST_SHARDS, max(shards, -(-(n or 0) // SHARD_BYTES)))
+        if wanted == shards:
+            break
+        shards = wanted
+    return sorted(cuts or [])[: shards - 1], shards
 
 
 def shuffle_width(spark: SparkSession) -> int:
@@ -140,21 +137,30 @@ def claim(name: str, free: Callable[[], None]) -> None:
 Mapper = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
 
-def with_shard(df: DataFrame, column: str, shards: int) -> tuple[DataFrame, list[int]]:
-    """Add ``shard``, by ranges of a long column, and return the cut values (``shards - 1`` at most).
+def with_shard(df: DataFrame, column: str, size: Column, tie: Column | None = None) -> tuple[DataFrame, list[int], int]:
+    """Add ``shard``, by ranges of a long column with about equal bytes (``size``); the cuts, and the number of shards.
 
-    Only the column goes through Python, for a binary search; nulls go to the first shard.
+    With ``tie``, a long, rows of a value that fills several shards are dealt to these by it.
     """
-    bounds = shard_bounds(df.select(column), column, shards)
-    return same_shards(df, column, bounds), bounds
+    bounds, shards = shard_bounds(df, column, size)
+    return same_shards(df, column, bounds, tie), bounds, shards
 
 
-def same_shards(df: DataFrame, column: str, bounds: list[int]) -> DataFrame:
-    """Add ``shard``: how many cut values are not above the column's."""
+def same_shards(df: DataFrame, column: str, bounds: list[int], tie: Column | None = None) -> DataFrame:
+    """Add ``shard``: how many cut values are below the column's, or with ``tie`` are not above it, for rows that are dealt on. Only these columns go through Python."""
     cuts = np.array(bounds, np.int64)
+    hot = len(cuts) > len(np.unique(cuts))
 
     @pandas_udf("int")
-    def find(values: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(cuts, values.to_numpy(), side="right").astype(np.int32))
+    def find(values: pd.Series, ties: pd.Series) -> pd.Series:
+        low = np.searchsorted(cuts, values.to_numpy(), side="left")
+        more = np.searchsorted(cuts, values.to_numpy(), side="right") - low
+        return pd.Series((low + ties.to_numpy() % (more + 1) * (more > 1)).astype(np.int32))
+
+    deal = tie if hot and tie is not None else F.lit(0).cast("long")
+    return df.withColumn("shard", find(F.coalesce(F.col(column), F.lit(LOWEST)), deal))
+
 
-    return df.withColumn("shard", find(F.coalesce(F.col(column), F.lit(-(1 << 63)))))
+def by_shard(df: DataFrame, shards: int, *order: str) -> DataFrame:
+    """One shard to a task, its rows in order."""
+    return df.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", *order)

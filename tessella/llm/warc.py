@@ -1,7 +1,7 @@
 """Operator 7: a deterministic sharded WARC writer, and its reader.
 
 Records are put in order of page id by ranges, written as one gzip member each into files that roll by
-compressed size, with headers and digests made anew. A file is written under a temporary name and then
+compressed size, with headers and digests made anew. Ranges hold about equal bytes, and a task writes one. A file is written under a temporary name and then
 renamed; the manifest, a table that Spark commits, lists what readers may read. Of records with equal
 payloads of at least ``LEAST_REVISIT`` bytes, the one with the largest page id is the response and the
 others are revisits that name it. Equality is by length and SHA-256.
@@ -24,21 +24,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import blocks, read_whole, same_shards, save, shuffle_width, tune, with_shard, work_path, write_whole
+from tessella.llm.common import LOWEST, blocks, by_shard, read_whole, same_shards, save, shuffle_width, tune, with_shard, work_path, write_whole
 
 LEAST_REVISIT = 1000
 #: Compressed bytes after which a file is closed.
 ROLL = 16 << 20
 #: Fixed: the profile of revisit records (WARC 1.1).
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-_LOWEST = -(1 << 63)
 
 
 def record_id(page_id: int | None, payload_sha256: str, repeat: int = 0) -> str:
-    """A version 8 UUID: 32 bits of the payload's digest, the number among equal rows, the page id."""
+    """A version 8 UUID: 32 bits of the payload's digest, 25 of the number among equal rows (its others are mixed with the digest), the page id."""
     value = ((1 << 64) - 1) & (page_id or 0)
-    high = int(payload_sha256[:8], 16) << 16 | (repeat & 0x7FFF) << 1 | (page_id is None)
-    return f"<urn:uuid:{uuid.UUID(int=high << 80 | 8 << 76 | (value >> 62) << 64 | 2 << 62 | value & ((1 << 62) - 1))}>"
+    high = (int(payload_sha256[:8], 16) ^ repeat >> 25) << 16 | (repeat & 0x7FFF) << 1 | (page_id is None)
+    middle = (repeat >> 15 & 0x3FF) << 2 | value >> 62
+    return f"<urn:uuid:{uuid.UUID(int=high << 80 | 8 << 76 | middle << 64 | 2 << 62 | value & ((1 << 62) - 1))}>"
 
 
 def page_of(record: str) -> int | None:
@@ -69,14 +69,14 @@ def write_warc(df: DataFrame, path: str, id_col: str = "page_id", url_col: str =
     """Write the archives and return the manifest: shard, part, file, n_records, n_bytes, sha256."""
     spark = df.sparkSession
     tune(spark)
-    width = shuffle_width(spark)
     pages = df.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(payload_col).cast("string").cast("binary"), F.lit(b"")).alias("payload"))
-    pages = pages.withColumn("at", F.coalesce("page_id", F.lit(_LOWEST)))
+    pages = pages.withColumn("at", F.coalesce("page_id", F.lit(LOWEST)))
     digests = pages.select("at", F.octet_length("payload").alias("n"), F.sha2("payload", 256).alias("digest")).where(F.col("n") >= LEAST_REVISIT)
     copies = digests.groupBy("digest", "n").agg(F.max("at").alias("first"), F.count("*").alias("rows")).where("rows > 1").drop("rows")
     revisits = digests.join(copies, ["digest", "n"]).where("at < first").select("at", "digest", "first").distinct()
-    placed, bounds = with_shard(pages, "at", 2 * width)
-    decided = same_shards(revisits, "at", bounds)
+    # the pages of one id that fills several shards are dealt by their payloads, so equal ones meet
+    placed, bounds, shards = with_shard(pages, "at", F.octet_length("payload"), F.xxhash64(F.sha2("payload", 256)))
+    decided = same_shards(revisits, "at", bounds, F.xxhash64("digest"))
     rows = decided.select("shard", "at", F.lit(0).alias("kind"), F.col("digest").alias("url"), F.lit(b"").alias("payload"), F.col("first").alias("page_id")).union(
         placed.select("shard", "at", F.lit(1), "url", "payload", "page_id")
     )
@@ -113,7 +113,7 @@ def write_warc(df: DataFrame, path: str, id_col: str = "page_id", url_col: str =
                 if len(payload) >= LEAST_REVISIT:
                     if digest in revisit:
                         first = revisit[digest]
-                        refers = record_id(None if first == _LOWEST else first, digest)
+                        refers = record_id(None if first == LOWEST else first, digest)
                     elif repeat:
                         refers = record_id(page_id, digest)
                 out.write(gzip.compress(record(record_id(page_id, digest, repeat), url, payload, refers, date), 6, mtime=0))
@@ -122,7 +122,7 @@ def write_warc(df: DataFrame, path: str, id_col: str = "page_id", url_col: str =
                     yield from close()
         yield from close()
 
-    ordered = rows.repartition(width, "shard").sortWithinPartitions("shard", "at", "kind", "payload", "url")
+    ordered = by_shard(rows, shards, "at", "kind", "payload", "url")
     return save(ordered.mapInArrow(run, "shard int, part int, file string, n_records long, n_bytes long, sha256 string"), "warc")
 
 

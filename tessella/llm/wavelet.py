@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.llm.bpe import encoder
-from tessella.llm.common import blocks, drop_path, read_whole, save, shuffle_width, tune, with_shard, work_path, write_whole
+from tessella.llm.common import blocks, by_shard, drop_path, read_whole, save, shuffle_width, tune, with_shard, work_path, write_whole
 
 #: Fixed: the file's first bytes, and the bits between two directory entries.
 MAGIC, STEP = b"TWM1", 512
@@ -164,9 +164,8 @@ def write_shards(df: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id
     """Write whole texts as shard files under ``path``, in ascending id order; return the manifest: shard, part, file, n_docs, n_ids."""
     spark = df.sparkSession
     tune(spark)
-    width = shuffle_width(spark)
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    placed, _ = with_shard(rows, "doc_id", 4 * width)
+    placed, _, shards = with_shard(rows, "doc_id", F.coalesce(F.octet_length("text"), F.lit(0)), F.xxhash64("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
@@ -202,7 +201,7 @@ def write_shards(df: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id
                     yield from close()
         yield from close()
 
-    ordered = placed.select("shard", "doc_id", "text").repartition(width, "shard").sortWithinPartitions("shard", "doc_id", "text")
+    ordered = by_shard(placed.select("shard", "doc_id", "text"), shards, "doc_id", "text")
     return save(ordered.mapInArrow(run, "shard int, part int, file string, n_docs long, n_ids long"), "shards")
 
 
@@ -210,7 +209,7 @@ def read_shards(manifest: DataFrame, with_ids: bool = False) -> DataFrame:
     """Per document of the files that a manifest lists: doc_id, start, n_tokens, ids_crc32; with ``with_ids`` the ids."""
     spark = manifest.sparkSession
     sums = manifest.groupBy("shard").agg(F.sum("n_ids").alias("ids"))
-    before = sums.select("shard", (F.sum("ids").over(Window.orderBy("shard")) - F.col("ids")).alias("before"))  # a row for each shard: four times the partitions
+    before = sums.select("shard", (F.sum("ids").over(Window.orderBy("shard")) - F.col("ids")).alias("before"))  # a row for each shard
     files = manifest.join(before, "shard").select("file", (F.col("before") + F.sum("n_ids").over(Window.partitionBy("shard").orderBy("part")) - F.col("n_ids")).alias("base"))
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + (", ids array<int>" if with_ids else "")
 
