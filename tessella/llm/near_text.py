@@ -2,13 +2,17 @@
 
 Here the fingerprint is of a text's distinct words, which an edit moves by few bits and which lies far
 from other texts' fingerprints; the covering family of radius ``RADIUS`` brings every pair in that
-radius together in some table. A second fingerprint, of the distinct shingles, goes along and says who
-is nearest there. A candidate is within ``ACCEPT`` bits of the first and ``BOTH`` bits of both
-fingerprints, and is a link if the Jaccard likeness of the whole sets of five-word shingles is at least
-0.8. In a bucket each member first goes to the nearest leader, or becomes a leader, and of each run of
-rows also to its two nearest and to the middle one; the links of these join most of a group. Then all
-candidates of a bucket whose components are still apart are compared, however large the bucket is, so
-what is found does not depend on who leads and where runs are cut.
+radius together in some table. Every pair that a table brings together is decided by the whole sets of
+five-word shingles: it is a link if their Jaccard likeness is at least 0.8. Only exact bounds, of sizes
+and of sketches, tell a pair sooner, and pairs of one component need no decision.
+
+Texts with equal sets are one class, which stands as one row everywhere. Buckets of up to ``SMALL``
+classes give all their pairs. In larger ones a pair a row is tried first, with the nearest row by this
+and a second fingerprint, of the shingles, or with the row in the middle; their links make components,
+and buckets whose components are one are done. The others are decided whole: a task gets a bucket's classes with their sets and gives the links
+that join components, so rows follow the members and never their pairs. A bucket of over ``PART``
+classes is dealt to several tasks: what stands apart from its main component in blocks, each against
+each other and against each block of the main component.
 
 Null texts count as empty; texts without words are alike. Rows of one id are one document, which has
 the links of each of its rows; null ids are one document too. Other columns are not read. An empty
@@ -27,18 +31,16 @@ from pyspark.sql import functions as F
 from tessella.llm.common import blocks, claim, save, shuffle_width, tune
 from tessella.llm.simhash import components
 
-WORDS, SIMILARITY, RADIUS, ACCEPT, BOTH = 5, 0.8, 6, 12, 34
-#: Rows of a bucket that are compared with one another at first.
-RUN = 512
+WORDS, SIMILARITY, RADIUS = 5, 0.8, 6
+#: Classes of a bucket of which all pairs are candidates; rows of a larger one among which the first partners are sought.
+SMALL, RUN = 8, 512
+#: Classes of a bucket that a task decides at once.
+PART = 2048
 #: Bits of a set's sketch: the parity of its hashes in each of so many places. Sketches differ in no more bits than the sets in members.
 SKETCH = 2048
-#: Orders of fingerprints, in turn by bucket, that say who leads: a document meets other leaders in other buckets.
-ORDERS = 4
 LOWEST = -(1 << 63)
-#: Stands for all distances beyond the bounds.
-FAR = 255
-#: Bits of the bitmap that picks documents with candidates (1 MB).
-BITMAP = 1 << 23
+#: Bits of the bitmap that picks documents with candidates (1 MB), and how many of these it is used for.
+BITMAP, MOST_MARKED = 1 << 23, 1 << 21
 #: Distinct words whose digests a worker keeps.
 MOST_WORDS = 150_000
 
@@ -106,135 +108,206 @@ def masks(radius: int = RADIUS) -> list[int]:
     return [m - (1 << 64) if m >> 63 else m for m in best[1]]
 
 
-def _apart(fp: np.ndarray, fp2: np.ndarray, to: np.ndarray, to2: np.ndarray) -> np.ndarray:
-    """Differing bits of both fingerprints, all rows against ``to``; ``FAR`` beyond the bounds."""
-    first = np.bitwise_count(fp[:, None] ^ to[None, :])
-    total = first + np.bitwise_count(fp2[:, None] ^ to2[None, :])
-    total[(first > ACCEPT) | (total > BOTH)] = FAR
-    return total
+def _names(family: list[int]) -> np.ndarray:
+    return np.array([m & (1 << 64) - 1 for m in family], np.uint64)
 
 
-def _near_rows(fp: np.ndarray, fp2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places of candidates among rows of a bucket: each with its two nearest and with the row in the middle."""
-    n = len(fp)
-    apart = _apart(fp, fp2, fp, fp2)
-    apart[np.arange(n), np.arange(n)] = FAR
-    mid = np.full(n, int(apart.sum(axis=1, dtype=np.int64).argmin()))
-    at = np.arange(n)
-    if n > 3:
-        two = np.argpartition(apart, 1, axis=1)[:, :2]
-        a, b = np.concatenate([at, at, at]), np.concatenate([two[:, 0], two[:, 1], mid])
-    else:
-        a, b = np.concatenate([at, at]), np.concatenate([apart.argmin(axis=1), mid])
-    some = apart[a, b] < FAR
-    return a[some], b[some]
-
-
-def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (path, fp, fp2, node, v) sorted by path and a fixed order of fingerprints. Gives the nodes of candidates; and rows (path, v, node) of buckets that may have more."""
-    path_now: int | None = None
-    none, no_heads = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    leaders, leaders2, heads = none, none, no_heads
-
-    def give(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-        pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
-        none = pa.nulls(pairs.shape[1])
-        return pa.RecordBatch.from_arrays([none.cast(pa.int64()), none.cast(pa.int32()), pa.array(pairs[0]), pa.array(pairs[1])], names=["path", "v", "a", "b"])
-
-    for batch in batches:
-        path, node, table = (np.asarray(batch.column(i)) for i in (0, 3, 4))
-        fp, fp2 = (np.asarray(batch.column(i)).view(np.uint64) for i in (1, 2))
-        if not len(path):
-            continue
-        starts = np.concatenate([[0], np.flatnonzero(path[1:] != path[:-1]) + 1])
-        sizes = np.diff(np.concatenate([starts, [len(path)]]))
-        edge = np.zeros(len(starts), bool)
-        edge[[0, -1]] = True  # these may go on in another batch
-        two = starts[np.flatnonzero((sizes == 2) & ~edge)]
-        first = np.bitwise_count(fp[two] ^ fp[two + 1])
-        two = two[(first <= ACCEPT) & (first + np.bitwise_count(fp2[two] ^ fp2[two + 1]) <= BOTH)]
-        found_a, found_b = [node[two]], [node[two + 1]]
-        for k in np.flatnonzero((sizes > 2) | edge):
-            s, n = int(starts[k]), int(sizes[k])
-            if int(path[s]) != path_now:
-                path_now, leaders, leaders2, heads = int(path[s]), none, none, no_heads
-            for at in range(s, s + n, RUN):
-                rows = slice(at, min(at + RUN, s + n))
-                members, members2, names = fp[rows], fp2[rows], node[rows]
-                if len(members) > 1:
-                    a, b = _near_rows(members, members2)
-                    found_a.append(names[a])
-                    found_b.append(names[b])
-                while len(members):
-                    if not len(leaders):
-                        leaders, leaders2, heads = members[:1], members2[:1], names[:1]
-                        members, members2, names = members[1:], members2[1:], names[1:]
-                        continue
-                    some = max(1, (1 << 20) // len(leaders))
-                    apart = _apart(members[:some], members2[:some], leaders, leaders2)
-                    nearest = apart.argmin(axis=1)
-                    near = apart[np.arange(len(apart)), nearest] < FAR
-                    own = int(np.argmin(near)) if not near.all() else len(near)  # the first that leads itself
-                    found_a.append(heads[nearest[:own]])
-                    found_b.append(names[:own])
-                    if own < len(near):
-                        leaders, leaders2, heads = np.append(leaders, members[own]), np.append(leaders2, members2[own]), np.append(heads, names[own])
-                        own += 1
-                    members, members2, names = members[own:], members2[own:], names[own:]
-        if sum(map(len, found_a)):
-            yield give(np.concatenate(found_a), np.concatenate(found_b))
-        more = np.repeat((sizes > 2) | edge, sizes)
-        if more.any():
-            yield pa.RecordBatch.from_arrays([pa.array(path[more]), pa.array(table[more]), pa.array(node[more]), pa.nulls(int(more.sum()), pa.int64())], names=["path", "v", "a", "b"])
-
-
-def _still_apart(family: list[int]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows (path, v, root, fp, fp2, node) sorted by path. Gives all candidates of a bucket whose roots differ, each pair in the first table that brings it together."""
-    keep = np.array([m & (1 << 64) - 1 for m in family], np.uint64)
-
-    def compare(v: int, root: np.ndarray, fp: np.ndarray, fp2: np.ndarray, node: np.ndarray) -> Iterator[pa.RecordBatch]:
-        roots, at, counts = np.unique(root, return_inverse=True, return_counts=True)
-        if len(roots) < 2:
-            return
-        main = at == counts.argmax()
-        others, place = np.flatnonzero(~main), np.arange(len(root))
-        some = max(1, (1 << 20) // len(root))
-        for k in range(0, len(others), some):
-            own = others[k : k + some]
-            near = (_apart(fp[own], fp2[own], fp, fp2) < FAR) & (at[own][:, None] != at[None, :]) & (main[None, :] | (place[None, :] > own[:, None]))
-            i, j = np.nonzero(near)
-            i = own[i]
-            for m in keep[:v]:  # pairs of an earlier table
-                left = (fp[i] ^ fp[j]) & m != 0
-                i, j = i[left], j[left]
-            if len(i):
-                a, b = node[i], node[j]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+def _first_here(x: np.ndarray, y: np.ndarray, table: np.ndarray, family: np.ndarray) -> np.ndarray:
+    """Whether no table before this one brings the two fingerprints together."""
+    differ = x ^ y
+    out = np.ones(len(differ), bool)
+    for v in range(int(np.max(table, initial=0))):
+        out &= (differ & family[v] != 0) | (v >= table)
+    return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = []
 
-        def close() -> Iterator[pa.RecordBatch]:
-            if held:
-                _, v, root, fp, fp2, node = map(np.concatenate, zip(*held, strict=True))
-                yield from compare(int(v[0]), root, fp.view(np.uint64), fp2.view(np.uint64), node)
+def _table_of(path: np.ndarray, family: np.ndarray) -> np.ndarray:
+    """A path's low bits are its table's number."""
+    return path & (len(family))
 
+
+def _partners(fp: np.ndarray, fp2: np.ndarray, kind: int) -> np.ndarray:
+    """For each of a bucket's rows the place of the one to try first: the row in the middle or the nearest one, by table; a third of the tables try none."""
+    n = len(fp)
+    if kind == 2:
+        return np.zeros(0, np.int64)
+    apart = np.bitwise_count(fp[:, None] ^ fp[None, :]) + np.bitwise_count(fp2[:, None] ^ fp2[None, :])
+    if kind == 0:
+        return np.full(n, int(apart.sum(axis=1, dtype=np.int64).argmin()))
+    apart[np.arange(n), np.arange(n)] = 255
+    return apart.argmin(axis=1)
+
+
+def _buckets(family: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows (path, fp, fp2, node) sorted by path. Gives the pairs of small buckets (nodes, partners) without a path; and the runs of larger buckets with theirs."""
+
+    def lists(path: int | None, nodes: np.ndarray, partners: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([path], pa.int64()), pa.array([nodes], pa.list_(pa.int64())), pa.array([partners], pa.list_(pa.int64()))], names=["path", "nodes", "partners"])
+
+    def small(columns: list[np.ndarray], starts: np.ndarray, sizes: np.ndarray) -> Iterator[pa.RecordBatch]:
+        path, fp, _, node = columns
+        left, right = [], []
+        for n in range(2, SMALL + 1):
+            here = starts[sizes == n]
+            for i in range(n - 1 if len(here) else 0):
+                for j in range(i + 1, n):
+                    left.append(here + i)
+                    right.append(here + j)
+        if left:
+            x, y = np.concatenate(left), np.concatenate(right)
+            new = _first_here(fp[x].view(np.uint64), fp[y].view(np.uint64), _table_of(path[x], family), family)
+            if new.any():
+                yield lists(None, node[x[new]], node[y[new]])
+
+    def large(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        path, fp, fp2, node = columns
+        kind = int(_table_of(path[0], family)) % 3
+        for at in range(0, len(path), RUN):
+            own, first, second = (x[at : at + RUN] for x in (node, fp.view(np.uint64), fp2.view(np.uint64)))
+            yield lists(int(path[0]), own, own[_partners(first, second, kind)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []  # the rows of the last bucket, which may go on
+        going_on: int | None = None  # the large bucket of which rows were given already
         for batch in batches:
             columns = [np.asarray(c) for c in batch.columns]
+            if held:
+                columns = [np.concatenate(x) for x in zip(held, columns, strict=True)]
             path = columns[0]
             if not len(path):
                 continue
-            edges = [0, *(np.flatnonzero(path[1:] != path[:-1]) + 1).tolist(), len(path)]
+            starts = np.concatenate([[0], np.flatnonzero(path[1:] != path[:-1]) + 1])
+            sizes = np.diff(np.concatenate([starts, [len(path)]]))
+            if going_on is not None and int(path[0]) == going_on:
+                yield from large([c[: sizes[0]] for c in columns])
+                if len(starts) == 1:
+                    held = []
+                    continue
+                starts, sizes = starts[1:], sizes[1:]
+            going_on = None
+            last = int(starts[-1])
+            if sizes[-1] > RUN:
+                going_on, held = int(path[last]), []
+                yield from large([c[last:] for c in columns])
+            else:
+                held = [c[last:] for c in columns]
+            starts, sizes = starts[:-1], sizes[:-1]
+            yield from small(columns, starts, sizes)
+            for k in np.flatnonzero(sizes > SMALL):
+                yield from large([c[starts[k] : starts[k] + sizes[k]] for c in columns])
+        if held:
+            n = len(held[0])
+            if n > SMALL:
+                yield from large(held)
+            else:
+                yield from small(held, np.array([0]), np.array([n]))
+
+    return run
+
+
+def _joined(root: np.ndarray, fp: np.ndarray, node: np.ndarray, block: np.ndarray, sets: list[np.ndarray], table: np.ndarray, across: bool, family: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Links that join the components of a bucket's classes: every pair of two components is decided, each in the first table that brings it together. ``across``: pairs of one block are another task's."""
+    roots, at, counts = np.unique(root, return_inverse=True, return_counts=True)
+    if len(roots) < 2:
+        return []
+    of = list(range(len(roots)))
+
+    def find(k: int) -> int:
+        while of[k] != k:
+            of[k] = of[of[k]]
+            k = of[k]
+        return k
+
+    sizes = np.array([len(x) for x in sets], np.int64)
+    sketches = np.stack([sketch(x) for x in sets]).view(np.uint64)
+    order = np.argsort(sizes, kind="stable")  # pairs of too different sizes are far apart here
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    main = at == counts.argmax()
+    rows = np.flatnonzero(~main)
+    out: list[tuple[int, int]] = []
+    step = max(1, (1 << 16) // len(root))
+    for k in range(0, len(rows), step):
+        own = rows[k : k + step]
+        now = np.array([find(i) for i in range(len(roots))])[at]
+        likely = (now[own][:, None] != now[None, :]) & (main[None, :] | (place[None, :] > place[own][:, None]))
+        likely &= np.minimum(sizes[own][:, None], sizes[None, :]) >= similarity * np.maximum(sizes[own][:, None], sizes[None, :])
+        if across:
+            likely &= block[own][:, None] != block[None, :]
+        i, j = np.nonzero(likely)
+        i = own[i]
+        most = (sizes[i] + sizes[j]) * (1 - similarity) / (1 + similarity) + 0.001
+        differ = np.zeros(len(i), np.int64)
+        for words in (slice(0, 4), slice(4, SKETCH // 64)):  # a part of the sketch is a bound too
+            differ += np.bitwise_count(sketches[i, words] ^ sketches[j, words]).sum(axis=1, dtype=np.int64)
+            left = differ <= most
+            i, j, most, differ = i[left], j[left], most[left], differ[left]
+        left = _first_here(fp[i], fp[j], table[i], family)
+        for a, b, d in sorted(zip(i[left].tolist(), j[left].tolist(), differ[left].tolist(), strict=True), key=lambda x: x[2]):
+            x, y = find(int(at[a])), find(int(at[b]))
+            if x == y:
+                continue
+            both = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
+            either = len(sets[a]) + len(sets[b]) - both
+            if either == 0 or both >= similarity * either:
+                of[x] = y
+                out.append((int(node[a]), int(node[b])))
+    return out
+
+
+def _decide(family: np.ndarray, similarity: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows (path, i, j, block, root, fp, node, shingles) sorted by path, i and j, of buckets' parts. Gives links (a, b)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[list[np.ndarray], list[np.ndarray]]] = []
+        key: tuple | None = None
+
+        def close() -> Iterator[pa.RecordBatch]:
+            if not held:
+                return
+            path, i, j, block, root, fp, node = (np.concatenate(c) for c in zip(*(h[0] for h in held), strict=True))
+            sets = [x for h in held for x in h[1]]
+            links = _joined(root, fp.view(np.uint64), node, block, sets, _table_of(path, family), bool(i[0] != j[0]), family, similarity)
+            held.clear()
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array([min(x) for x in links], pa.int64()), pa.array([max(x) for x in links], pa.int64())], names=["a", "b"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            columns = [np.asarray(batch.column(k)) for k in range(7)]
+            lists = batch.column(7)
+            ends, flat = np.asarray(lists.offsets), np.asarray(lists.values)
+            sets = [flat[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+            new = (columns[0][1:] != columns[0][:-1]) | (columns[1][1:] != columns[1][:-1]) | (columns[2][1:] != columns[2][:-1])
+            edges = [0, *(np.flatnonzero(new) + 1).tolist(), batch.num_rows]
             for s, e in zip(edges, edges[1:], strict=False):
-                if held and int(held[0][0][0]) != int(path[s]):
+                now = tuple(int(c[s]) for c in columns[:3])
+                if now != key:
                     yield from close()
-                    held = []
-                held.append([c[s:e] for c in columns])
+                    key = now
+                held.append(([c[s:e] for c in columns], sets[s:e]))
         yield from close()
 
     return run
 
 
+def _parts(members: DataFrame) -> DataFrame:
+    """Rows (path, root, node) of buckets with several components, dealt to parts (i, j) of which a task decides one: i is a block of what stands apart from the main component, j any block."""
+    by_root = members.groupBy("path", "root").agg(F.count("*").alias("n"))
+    buckets = by_root.groupBy("path").agg(F.max(F.struct("n", "root")).alias("most"), F.sum("n").alias("all"), F.count("*").alias("roots")).where("roots > 1")
+    whole = F.col("all") <= PART
+    apart = F.when(whole, 1).otherwise(F.ceil((F.col("all") - F.col("most.n")) / PART)).cast("int")
+    together = F.when(whole, 0).otherwise(F.ceil(F.col("most.n") / PART)).cast("int")
+    buckets = buckets.select("path", F.when(whole, None).otherwise(F.col("most.root")).alias("main"), apart.alias("apart"), together.alias("together"))
+    mixed = F.xxhash64("node", F.lit(3))
+    block = F.when(F.col("root") == F.col("main"), F.col("apart") + F.pmod(mixed, F.col("together"))).otherwise(F.pmod(mixed, F.col("apart"))).cast("int")
+    dealt = members.join(buckets, "path").withColumn("block", block)
+    last = F.when(F.col("block") < F.col("apart"), F.col("apart") + F.col("together") - 1).otherwise(F.col("apart") - 1)
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), last)))
+    return dealt.select("path", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "root", "node")
+
+
 def _bitmap(nodes: DataFrame) -> np.ndarray:
     """The hashes of nodes as a bitmap of fixed size. Hashes that meet only cost time."""
     place = nodes.select(F.pmod(F.xxhash64("node"), F.lit(BITMAP)).alias("k")).groupBy(F.floor(F.col("k") / 64).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(k % 64 AS int))")).alias("bits"))
@@ -251,7 +324,7 @@ def similar_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LOWEST)).alias("node"), F.col(text_col).cast("string").cast("binary").alias("text"))
 
     def fingerprint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from xxhash import xxh64_intdigest
+        from xxhash import xxh128_digest
 
         claim("near_text", _DIGESTS.clear)
         for block in blocks(batches, "text"):
@@ -260,37 +333,41 @@ def similar_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
             texts = block.column(1).to_pylist()
             sets = [np.fromiter(x := shingles(t, words), np.int32, len(x)) for t in texts]
             second = [shingle_fingerprint(x) for x in sets]
-            same = [xxh64_intdigest(np.sort(x).tobytes()) - (1 << 63) for x in sets]
+            same = [xxh128_digest(np.sort(x).tobytes()) for x in sets]
             yield pa.RecordBatch.from_arrays(
-                [block.column(0), pa.array([word_fingerprint(t) for t in texts], pa.int64()), pa.array(second, pa.int64()), pa.array(same, pa.int64())], names=["node", "fp", "fp2", "same"]
+                [block.column(0), pa.array([word_fingerprint(t) for t in texts], pa.int64()), pa.array(second, pa.int64()), pa.array(same, pa.binary())], names=["node", "fp", "fp2", "same"]
             )
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, "text"):
-            k = np.asarray(block.column(2))
-            block = block.filter(pa.array((bitmap[k >> 6] >> (k & 63) & 1).astype(bool)))
-            sets = [np.fromiter(s := shingles(t, words), np.int32, len(s)) for t in block.column(1).to_pylist()]
+            if bitmap is not None:
+                k = np.asarray(block.column(2))
+                block = block.filter(pa.array((bitmap[k >> 6] >> (k & 63) & 1).astype(bool)))
+            texts = block.column(1).to_pylist()
+            sets = [np.sort(np.fromiter(s := shingles(t, words), np.int32, len(s))) for t in texts]
             some = [sketch(x) for x in sets]
             yield pa.RecordBatch.from_arrays(
-                [block.column(0), pa.array([len(x) for x in sets], pa.int32()), pa.array(some, pa.list_(pa.int64())), pa.array(sets, pa.list_(pa.int32()))], names=["node", "n", "sketch", "shingles"]
+                [block.column(0), pa.array([word_fingerprint(t) for t in texts], pa.int64()), pa.array([len(x) for x in sets], pa.int32()), pa.array(some, pa.list_(pa.int64())), pa.array(sets, pa.list_(pa.int32()))],
+                names=["node", "fp", "n", "sketch", "shingles"],
             )
 
-    prints = save(rows.mapInArrow(fingerprint, "node long, fp long, fp2 long, same long"), "words")
+    prints = save(rows.mapInArrow(fingerprint, "node long, fp long, fp2 long, same binary"), "words")
     family = masks(radius)
     # a class has one set of shingles, so its least node stands for it in every comparison
     classes = save(prints.groupBy("fp", "fp2", "same").agg(F.min("node").alias("rep")), "word-classes")
     keys = classes.select("fp", "fp2", "rep", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in family])).alias("v", "key"))
-    dealt = keys.select(F.xxhash64("v", "key").alias("path"), "fp", "fp2", "rep", "v").repartition(shuffle_width(spark), "path")
-    dealt = dealt.sortWithinPartitions("path", F.xxhash64(F.col("path") % ORDERS, "fp", "fp2"))
-    dealt = save(dealt.mapInArrow(_stars, "path long, v int, a long, b long"), "buckets")
-    between = dealt.where("path IS NULL").select("a", "b")
-    within = prints.join(classes, ["fp", "fp2", "same"]).where("node <> rep").select(F.col("rep").alias("a"), F.col("node").alias("b"))
-    pairs = save(between.union(within).where("a <> b").distinct(), "candidates")  # rep is the least of its class
-    more = dealt.where("path IS NOT NULL").select("path", "v", F.col("a").alias("rep"))
-    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(more.select("rep")).distinct()
-    bitmap = _bitmap(nodes)  # texts of documents without candidates need no exchange
-    sets = rows.withColumn("k", F.pmod(F.xxhash64("node"), F.lit(BITMAP))).mapInArrow(cut, "node long, n int, sketch array<long>, shingles array<int>")
-    sets = save(sets, "shingles")
+    path = F.xxhash64("v", "key").bitwiseAND(F.lit(~len(family))).bitwiseOR(F.col("v"))  # a bucket is of one table
+    dealt = keys.select(path.alias("path"), "fp", "fp2", "rep").repartition(shuffle_width(spark), "path").sortWithinPartitions("path", "fp2")
+    dealt = save(dealt.mapInArrow(_buckets(_names(family)), "path long, nodes array<long>, partners array<long>"), "buckets")
+    tried = dealt.where(F.size("partners") > 0).select(F.inline(F.arrays_zip("nodes", "partners"))).where("nodes <> partners")
+    pairs = save(tried.select(F.least("nodes", "partners").alias("a"), F.greatest("nodes", "partners").alias("b")).distinct(), "candidates")
+    more = save(dealt.where("path IS NOT NULL").select("path", F.explode("nodes").alias("node")), "members")
+    linked = prints.join(classes, ["fp", "fp2", "same"]).where("node <> rep").select(F.col("rep").alias("a"), F.col("node").alias("b"))
+    nodes = save(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(more.select("node")).distinct(), "compared")
+    marked = rows.withColumn("k", F.pmod(F.xxhash64("node"), F.lit(BITMAP)))
+    few = nodes.count() <= MOST_MARKED
+    bitmap = _bitmap(nodes) if few else None  # texts of documents without candidates need no exchange
+    sets = save((marked if few else marked.join(nodes, "node", "left_semi")).mapInArrow(cut, "node long, fp long, n int, sketch array<long>, shingles array<int>"), "shingles")
     one = lambda c: sets.select(F.col("node").alias(c), F.col("shingles").alias(f"{c}_set"))
     both = F.size(F.array_intersect("a_set", "b_set"))
     either = F.size("a_set") + F.size("b_set") - both
@@ -303,25 +380,13 @@ def similar_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     differ = F.aggregate(F.zip_with("a_sketch", "b_sketch", lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("int")), F.lit(0), lambda n, x: n + x)
     possible = differ * F.lit(1 + similarity) <= (F.col("a_n") + F.col("b_n")) * F.lit(1 - similarity) + F.lit(0.001)
     fits = F.least("a_n", "b_n") >= F.lit(similarity) * F.greatest("a_n", "b_n")
+    pairs = save(pairs.join(small("a"), "a").join(small("b"), "b").where(fits & possible).select("a", "b"), "possible")
+
+    linked = save(linked.union(alike(pairs)), "linked")
+    root = save(components(linked), "roots")
 
-    def fitting(some: DataFrame) -> DataFrame:
-        return some.join(small("a"), "a").join(small("b"), "b").where(fits & possible).select("a", "b")
-
-    pairs = save(fitting(pairs), "possible")
-
-    # first one candidate of each document, then all others that would join what is still apart
-    first = pairs.groupBy("b").agg(F.min_by("a", F.xxhash64("a")).alias("a")).select("a", "b")
-    linked = save(alike(first), "linked")
-    root = save(components(linked), "first-roots")
-    of = lambda c: root.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
-    apart = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b"))
-    rest = apart.select("a", "b").join(first, ["a", "b"], "left_anti")
-    linked = save(linked.union(alike(rest)), "linked")
-    root = save(components(linked), "second-roots")
-
-    # then every candidate of the buckets whose components are still apart
-    members = more.join(classes, "rep").join(root.withColumnRenamed("node", "rep"), "rep", "left")
-    members = members.select("path", "v", F.coalesce("root", "rep").alias("root"), "fp", "fp2", F.col("rep").alias("node"))
-    members = members.repartition(shuffle_width(spark), "path").sortWithinPartitions("path")
-    left = members.mapInArrow(_still_apart(family), "a long, b long")
-    return components(linked.union(alike(save(fitting(left), "left"))))
+    # then every pair of the buckets whose components are still apart
+    rooted = save(more.join(root, "node", "left").select("path", F.coalesce("root", "node").alias("root"), "node"), "rooted")
+    members = save(_parts(rooted), "apart")
+    whole = members.join(sets.select("node", "fp", "shingles"), "node").select("path", "i", "j", "block", "root", "fp", "node", "shingles").repartition(shuffle_width(spark), "path", "i", "j").sortWithinPartitions("path", "i", "j")
+    return components(linked.union(save(whole.mapInArrow(_decide(_names(family), similarity), "a long, b long"), "left")))
