@@ -1,17 +1,21 @@
 """Operator 9: main text of web pages, with the repeated runs of a host.
 
-A page is read as blocks of text with the marks of their elements. What elements or their class, id
-and role name as menus, headers, footers, sidebars, notices, adverts, forms, comments and the like is
-no text. Where a page marks its article, the article's remaining blocks are its text: passages that
-articles share stay, as a repeated run can't tell a quoted passage or a second copy of an article from
-boilerplate. For pages that mark none, the distinct pages of the host that hold each run of ``DEPTH``
-tokens are counted over the whole host, by 128-bit hashes, and blocks covered by runs that stand on
-several distinct pages are dropped; the unique ones stay. ``covered`` says the same of pages in memory,
-by suffix ranks (prefix doubling).
+A page is read in one pass as blocks of text, each with the container it stands in. What elements or
+their class, id and role name as menus, headers, footers, sidebars, notices, adverts, forms, comments
+and the like is no text. The rest is decided over the whole host. The container that holds most distinct
+text there is the host's body; all its blocks stay, as a repeated run can't tell a quoted passage or a
+second copy of an article from boilerplate. Blocks elsewhere are asked: the token streams of the host's
+distinct pages are put together in a suffix array, and blocks covered by runs of ``DEPTH`` tokens and
+more that stand on ``PAGES`` distinct pages go; the unique ones stay. Elements that mark an article or
+the main part only help: on pages that have such marks, blocks outside of both marks and body go.
+
+A host with more than ``HOST_TOKENS`` asked tokens is dealt to many tasks by its runs, whose distinct
+pages are counted by 128-bit hashes; that gives the same. So results don't depend on partitions.
 
 A null page counts as empty; it has an empty text. A null url makes a host of its own. Repeated rows
-are distinct pages only if their blocks differ. Other columns are not read. An empty table gives an
-empty one. A hot host is dealt to several tasks by its runs; pages that mark their article are not.
+are distinct pages only if their asked blocks differ. Tags left open at the page's end are dropped;
+after a quote that is never closed, tags end at the next ``>``. Other columns are not read. An empty
+table gives an empty one.
 """
 
 from __future__ import annotations
@@ -19,25 +23,31 @@ from __future__ import annotations
 import html as entities
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import blocks, save, tune
+from tessella.llm.common import blocks, save, shuffle_width, tune
 
-#: Tokens of the shortest run that counts; distinct pages it must stand on.
-DEPTH, PAGES = 8, 3
+#: Tokens of the shortest run that counts; distinct pages it must stand on; asked tokens of a host that a task holds.
+DEPTH, PAGES, HOST_TOKENS = 8, 3, 1 << 20
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
-_ATTR = re.compile(r"([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+#: What follows a tag's name, up to its end: quotes count after an equals sign. Nothing is read twice.
+_REST = re.compile(r"(?:[^>=]|=\s*+(?:\"[^\"]*+\"|'[^']*+'|(?![\"'])))*+>")
+_NAME = re.compile(r"/?[a-zA-Z][^\s/>]*+")
+_ATTR = re.compile(r"([a-zA-Z_:][-\w:.]*+)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++)))?")
 #: Elements whose content is not markup.
 RAW = {"script", "style", "textarea", "noembed", "xmp", "iframe", "noframes", "title"}
+_RAW_ENDS = {t: re.compile(rf"</{t}\s*+>", re.I) for t in RAW}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 #: Elements that are no part of an article.
 NOISE = {"nav", "footer", "aside", "form", "button", "select", "script", "style", "noscript", "template", "svg", "iframe", "dialog", "menu", "head", "textarea", "object", "canvas", "audio", "video", "title", "fieldset", "datalist", "noembed", "noframes", "xmp"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "input"}
+#: Elements that give a text its form; they are no containers.
+PROSE = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "ul", "ol", "li", "dl", "dt", "dd", "table", "thead", "tbody", "tfoot", "tr", "td", "th", "caption", "blockquote", "pre", "figure", "figcaption", "header", "hgroup", "address"}
 #: Parts of class names, ids and roles that name what is no part of an article.
 NAMES = set(
     "ad ads advert adverts advertisement advertisements adsense adbox banner promo promotion sponsor sponsored sponsors cookie cookies consent gdpr notice notices alert newsletter subscribe subscription signup "
@@ -47,94 +57,176 @@ NAMES = set(
 _P_ENDS = {"address", "article", "aside", "blockquote", "div", "dl", "fieldset", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "nav", "ol", "p", "pre", "section", "table", "ul", "li"}
 
 
-def _noise(tag: str, attrs: str, inside: bool) -> bool:
+class Block(NamedTuple):
+    """A block's text, whether it is in a marked part, and its container's number."""
+
+    text: str
+    marked: bool
+    container: int
+
+
+def _attributes(attrs: str) -> dict[str, str]:
+    return {name.lower(): "".join(values) for name, *values in _ATTR.findall(attrs)} if attrs and not attrs.isspace() else {}
+
+
+def _parts(value: str) -> set[str]:
+    return {p for p in re.split(r"[^a-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", value).lower()) if p}
+
+
+def _noise(tag: str, attrs: dict[str, str], inside: bool) -> bool:
+    """Whether an element is named as no part of an article; ``inside``: of a marked part."""
     if tag in NOISE or (tag == "header" and not inside):
         return True
-    if not attrs.strip() or tag in ("body", "html", "article", "main") and "comment" not in attrs:
+    if not attrs or tag in ("body", "html"):
         return False
-    for name, *values in _ATTR.findall(attrs):
-        name, value = name.lower(), "".join(values)
-        if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none", value)):
-            return True
-        if name in ("class", "id", "role"):
-            parts = {p for p in re.split(r"[^a-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", value).lower()) if p}
-            if parts & NAMES or (name == "role" and value in ("banner", "navigation")):
-                return not (tag in INLINE and tag not in ("a", "span"))
-    return False
-
-
-def page_blocks(page: str) -> tuple[list[str], bool]:
-    """Blocks of a page that elements don't name as something else, and whether they are of a marked article."""
-    all_blocks: list[tuple[str, int]] = []  # text, 2 in an article, 1 in a main part, else 0
-    open_: list[tuple[str, bool, int]] = []  # tag, whether it or one around it is noise, place
-    parts: list[str] = []
-    noise, place, at = False, 0, 0
+    if "hidden" in attrs or attrs.get("aria-hidden") == "true" or re.search(r"display\s*+:\s*+none", attrs.get("style", "")):
+        return True
+    named = any(_parts(attrs[k]) & NAMES for k in ("class", "id", "role") if k in attrs)
+    if tag in ("article", "main"):
+        return any("comment" in attrs[k].lower() for k in ("class", "id", "role") if k in attrs)
+    return named and not (tag in INLINE and tag not in ("a", "span"))
+
+
+def _label(tag: str, attrs: dict[str, str]) -> str:
+    """What tells containers of one host apart: names without digits."""
+    return " ".join([tag, *(re.sub(r"\d+", "", attrs[k]) for k in ("class", "id") if k in attrs)])
+
+
+class _Open(NamedTuple):
+    tag: str
+    noise: bool
+    marked: bool
+    container: int
+
+
+class _Stack:
+    """The open elements. Each question takes the same time however many are open."""
+
+    def __init__(self) -> None:
+        self.open: list[_Open] = []
+        self.places: dict[str, list[int]] = {}
+        self.whole: list[int] = []  # places of those that are not inline
+
+    @property
+    def top(self) -> _Open:
+        return self.open[-1] if self.open else _Open("", False, False, 0)
+
+    def push(self, x: _Open) -> None:
+        self.places.setdefault(x.tag, []).append(len(self.open))
+        if x.tag not in INLINE:
+            self.whole.append(len(self.open))
+        self.open.append(x)
+
+    def cut(self, place: int) -> None:
+        """Close the element at a place and all that are open in it."""
+        while len(self.open) > place:
+            x = self.open.pop()
+            self.places[x.tag].pop()
+            if x.tag not in INLINE:
+                self.whole.pop()
+
+    def last(self, tag: str) -> int:
+        """Where the last such element is open; -1 if none is."""
+        found = self.places.get(tag)
+        return found[-1] if found else -1
+
+    @property
+    def last_whole(self) -> int:
+        return self.whole[-1] if self.whole else -1
+
+
+def page_blocks(page: str) -> list[Block]:
+    """Blocks of a page that elements don't name as something else, in order. Time is in proportion to the page."""
+    from xxhash import xxh64_intdigest
+
+    found: list[Block] = []
+    stack, parts = _Stack(), []
+    n, at = len(page), 0
+    quotes = True  # off after a quote that is never closed
+    last_end, last_data = page.rfind(">"), page.rfind("]]>")
 
     def flush() -> None:
         text = " ".join("".join(parts).split())
         parts.clear()
         if text:
-            all_blocks.append((text, place))
-
-    def close(k: int) -> None:
-        nonlocal noise, place
-        del open_[k:]
-        noise, place = (open_[-1][1], open_[-1][2]) if open_ else (False, 0)
+            top = stack.top
+            found.append(Block(text, top.marked, top.container))
 
-    n = len(page)
-    while at < n:
-        m = _TAG.search(page, at)
-        stop = m.start() if m else n
-        if not noise and stop > at:
-            text = page[at:stop]
+    def say(text: str) -> None:
+        if not stack.top.noise:
             parts.append(entities.unescape(text) if "&" in text else text)
-        if not m:
-            break
-        at = m.end()
-        tag = m[2] or m[5]
-        if not tag:
-            if not noise and m[0].startswith("<![CDATA["):
-                parts.append(m[0][9:-3])
-            continue
-        tag, attrs, ends = tag.lower(), m[3] or m[6] or "", (m[1] or m[4]) == "/"
-        if ends:
-            k = next((k for k in range(len(open_) - 1, -1, -1) if open_[k][0] == tag), None)
-            if tag not in INLINE or (k is not None and open_[k][1] != (open_[k - 1][1] if k else False)):
-                flush()
-            if k is not None and not (tag in INLINE and any(t not in INLINE for t, _, _ in open_[k + 1 :])):
-                close(k)
-            continue
-        if tag not in INLINE:
+
+    def opened(tag: str, attrs: dict[str, str]) -> int:
+        """Takes an opening tag and gives where reading goes on."""
+        if tag == "br":
+            say(" ")
+        elif tag not in INLINE:
             flush()
-        elif tag == "br":
-            if not noise:
-                parts.append(" ")
-            continue
         if tag in VOID:
-            continue
-        if tag in _P_ENDS:  # a block ends an open paragraph and what is open inside it
-            k = next((k for k in range(len(open_) - 1, -1, -1) if open_[k][0] not in INLINE), None)
-            if k is not None and (open_[k][0] == "p" or (tag == "li" and open_[k][0] == "li")):
-                close(k)
-        own = _noise(tag, attrs, place > 0)
-        if tag in ("article", "main") and noise and not own and not any(t in ("article", "main") for t, _, _ in open_):
-            while open_ and open_[-1][1]:  # an element before the article was not closed
-                close(len(open_) - 1)
-        if own and not noise:
+            return at
+        if tag in _P_ENDS and (k := stack.last_whole) >= 0 and stack.open[k].tag in (("p", "li") if tag == "li" else ("p",)):
+            stack.cut(k)  # a block ends an open paragraph and what is open inside it
+        own = _noise(tag, attrs, stack.top.marked)
+        if tag in ("article", "main") and not own and stack.last("article") < 0 and stack.last("main") < 0:
+            while stack.top.noise:  # an element before the article was not closed
+                stack.cut(len(stack.open) - 1)
+        up = stack.top
+        if own and not up.noise:
             flush()
         if tag in RAW:
-            end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-            at = end.end() if end else n
-            continue
-        noise = noise or own
-        if tag == "article":
-            place = 2
-        elif tag == "main" or re.search(r"role\s*=\s*[\"']?main", attrs):
-            place = max(place, 1)
-        open_.append((tag, noise, place))
+            end = _RAW_ENDS[tag].search(page, at)
+            return end.end() if end else n
+        container = up.container if tag in INLINE or tag in PROSE else xxh64_intdigest(f"{up.container} {_label(tag, attrs)}".encode("utf-8", "replace")) - (1 << 63)
+        stack.push(_Open(tag, up.noise or own, up.marked or tag in ("article", "main") or attrs.get("role", "").lower() == "main", container))
+        return at
+
+    def closed(tag: str) -> None:
+        k = stack.last(tag)
+        if tag in INLINE:
+            if k > stack.last_whole:
+                if stack.open[k].noise != (stack.open[k - 1].noise if k else False):
+                    flush()
+                stack.cut(k)
+        else:
+            flush()
+            if k >= 0:
+                stack.cut(k)
+
+    while at < n:
+        start = page.find("<", at)
+        if start < 0:
+            start = n
+        if start > at:
+            say(page[at:start])
+        at = start + 1
+        if start == n:
+            break
+        if page.startswith("!--", at):
+            end = page.find("-->", at + 1)
+            at = end + 3 if end >= 0 else n
+        elif page.startswith("![CDATA[", at) and last_data > at:
+            end = page.find("]]>", at)
+            if not stack.top.noise:
+                parts.append(page[at + 8 : end])
+            at = end + 3
+        elif page[at : at + 1] in ("!", "?") and last_end > at:
+            at = page.find(">", at) + 1
+        elif (name := _NAME.match(page, at)) and last_end >= name.end():
+            rest = _REST.match(page, name.end()) if quotes else None
+            if rest is None:
+                quotes = False
+            end = rest.end() if rest else page.find(">", name.end()) + 1
+            attrs, at, tag = page[name.end() : end - 1], end, name[0].lower()
+            if tag[0] == "/":
+                closed(tag[1:])
+            else:
+                at = opened(tag, _attributes(attrs))
+        elif name:  # a tag that the page's end cuts off
+            at = n
+        else:
+            say("<")
     flush()
-    best = max((p for _, p in all_blocks), default=0)
-    return [t for t, p in all_blocks if p == best], best > 0
+    return found
 
 
 def suffix_ranks(tokens: np.ndarray, page: np.ndarray, depth: int = DEPTH) -> np.ndarray:
@@ -152,7 +244,7 @@ def suffix_ranks(tokens: np.ndarray, page: np.ndarray, depth: int = DEPTH) -> np
 
 
 def covered(pages: list[list[str]], depth: int = DEPTH, least: int = PAGES) -> list[list[bool]]:
-    """For each block, whether runs that stand on several distinct pages cover all its tokens. Equal pages count as one."""
+    """For each block of a host's pages, whether runs that stand on several distinct pages cover all its tokens. Equal pages count as one."""
     distinct: dict[tuple[str, ...], int] = {}
     of = [distinct.setdefault(tuple(p), len(distinct)) for p in pages]
     vocabulary: dict[str, int] = {}
@@ -177,16 +269,59 @@ def covered(pages: list[list[str]], depth: int = DEPTH, least: int = PAGES) -> l
     first = np.concatenate([[True], (rank[order][1:] != rank[order][:-1]) | (page[order][1:] != page[order][:-1])])
     on_pages = np.bincount(rank[order][first], minlength=rank.max() + 1)
     starts = np.flatnonzero((on_pages[rank] >= least) & whole)
+    found = []
+    bare = _bare(n, starts, depth)
+    for p in places:
+        found.append([bool(bare[b] == bare[a]) for a, b in p])
+    return [found[k] for k in of]
+
+
+def _bare(n: int, starts: np.ndarray, depth: int = DEPTH) -> np.ndarray:
+    """How many tokens before each place no run covers."""
     change = np.zeros(n + 1, np.int64)
     np.add.at(change, starts, 1)
     np.add.at(change, starts + depth, -1)
-    bare = np.concatenate([[0], np.cumsum(np.cumsum(change[:-1]) == 0)])  # tokens not covered, before each place
-    found = [[bool(bare[b] == bare[a]) for a, b in p] for p in places]
-    return [found[k] for k in of]
+    return np.concatenate([[0], np.cumsum(np.cumsum(change[:-1]) == 0)])
+
 
+def _text(own: list[str], asked: list[bool], gone: list[bool]) -> str:
+    """The blocks but those that were asked and are gone."""
+    answers = iter(gone)
+    return "\n\n".join(b for b, a in zip(own, asked, strict=True) if not (a and next(answers)))
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (page, host, blocks). Gives each run of a page once, hashed with the host, and where it starts."""
+
+def _asked(own: list[str], asked: list[bool]) -> list[str]:
+    return [b for b, a in zip(own, asked, strict=True) if a]
+
+
+Batches = Iterator[pa.RecordBatch]
+
+
+def _hosts(batches: Batches) -> Batches:
+    """Rows (page_id, url, blocks, asked, host) sorted by host. Gives the pages' texts, a host at a time."""
+    held: list[tuple] = []
+
+    def close() -> Batches:
+        gone = covered([_asked(own, asked) for _, _, own, asked, _ in held])
+        for k in range(0, len(held), 256):
+            some = held[k : k + 256]
+            texts = [_text(own, asked, g) for (_, _, own, asked, _), g in zip(some, gone[k : k + 256], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in some], kind), pa.array([r[1] for r in some], pa.string()), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
+        held.clear()
+
+    kind = None
+    for batch in batches:
+        kind = batch.schema.field(0).type
+        for row in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+            if held and held[-1][4] != row[4]:
+                yield from close()
+            held.append(row)
+    if held:
+        yield from close()
+
+
+def _runs(batches: Batches) -> Batches:
+    """Rows (page, host, asked blocks). Gives each run of a page once, hashed with the host, and where it starts."""
     from xxhash import xxh128_digest
 
     for batch in batches:
@@ -200,16 +335,16 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array([page] * len(places)), pa.array(list(places), pa.binary()), pa.array(list(places.values()), pa.list_(pa.int32()))], names=["page", "run", "starts"])
 
 
-def _bare(own: list[str], starts: list[int] | None) -> str:
-    """The blocks that runs at these places don't cover."""
-    sizes = np.array([b.count(" ") + 1 for b in own], np.int64)
-    ends = np.cumsum(sizes)
-    change = np.zeros(int(ends[-1]) + 1 if len(own) else 1, np.int64)
-    at = np.array(starts or [], np.int64)
-    np.add.at(change, at, 1)
-    np.add.at(change, at + DEPTH, -1)
-    bare = np.concatenate([[0], np.cumsum(np.cumsum(change[:-1]) == 0)])  # tokens not covered, before each place
-    return "\n\n".join(b for b, e, n in zip(own, ends.tolist(), sizes.tolist(), strict=True) if bare[e] > bare[e - n])
+def _hot(batches: Batches) -> Batches:
+    """Rows (page_id, url, blocks, asked, starts of repeated runs). Gives the pages' texts."""
+    for batch in batches:
+        texts = []
+        for own, asked, starts in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True):
+            some = _asked(own, asked)
+            ends = np.cumsum([b.count(" ") + 1 for b in some], dtype=np.int64)
+            bare = _bare(int(ends[-1]) if len(some) else 0, np.array(starts or [], np.int64))
+            texts.append(_text(own, asked, [bool(bare[e] == bare[e - b.count(" ") - 1]) for e, b in zip(ends.tolist(), some, strict=True)]))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
 
 def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -219,25 +354,40 @@ def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_c
     pages = df.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
     id_kind = pages.schema["page_id"].dataType.simpleString()
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def read(batches: Batches) -> Batches:
         for block in blocks(batches, "html"):
             made = [page_blocks(h or "") for h in block.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([block.column(0), block.column(1), pa.array([b for b, _ in made], pa.list_(pa.string())), pa.array([m for _, m in made], pa.bool_())], names=["page_id", "url", "blocks", "marked"])
-
-    def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [_bare(own, starts) for own, starts in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
+            columns = [pa.array([[b[k] for b in m] for m in made], pa.list_(kind)) for k, kind in enumerate((pa.string(), pa.bool_(), pa.int64()))]
+            yield pa.RecordBatch.from_arrays([block.column(0), block.column(1), *columns], names=["page_id", "url", "texts", "marks", "containers"])
 
-    parsed = save(pages.mapInArrow(read, f"page_id {id_kind}, url string, blocks array<string>, marked boolean"), "pages")
+    parsed = save(pages.mapInArrow(read, f"page_id {id_kind}, url string, texts array<string>, marks array<boolean>, containers array<long>"), "pages")
     host = F.lower(F.coalesce(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
-    named = parsed.withColumn("host", host).withColumn("page", F.md5(F.concat_ws("\n", "host", "blocks")))  # blocks hold no line ends
-    out = parsed.where("marked").select("page_id", "url", F.array_join("blocks", "\n\n").alias("text"))
-    bare = named.where("NOT marked")
-    if not bare.isEmpty():
-        distinct = named.join(bare.select("host").distinct(), "host", "left_semi").groupBy("page").agg(F.first("host").alias("host"), F.first("blocks").alias("blocks"))
-        runs = save(distinct.select("page", "host", "blocks").mapInArrow(_runs, "page string, run binary, starts array<int>"), "runs")
-        repeated = runs.groupBy("run").count().where(F.col("count") >= PAGES).select("run")
-        starts = runs.join(repeated, "run", "left_semi").groupBy("page").agg(F.flatten(F.collect_list("starts")).alias("starts"))
-        out = out.union(bare.join(starts, "page", "left").select("page_id", "url", "blocks", "starts").mapInArrow(drop, f"page_id {id_kind}, url string, text string"))
+    named = parsed.withColumn("host", host)
+    each = named.select(F.xxhash64("host").alias("h"), F.inline(F.arrays_zip("texts", "containers")))
+    texts = each.groupBy("h", "containers", F.xxhash64("texts").alias("text")).agg(F.max(F.char_length("texts")).alias("n"))
+    sizes = texts.groupBy("h", "containers").agg(F.sum("n").alias("n"))
+    body = sizes.groupBy("h").agg(F.max(F.struct("n", "containers"))["containers"].alias("body"))
+    # a block stays in question or for good: in the body, in a marked part, or on a page without marks
+    has_marks = F.exists("marks", lambda m: m)
+    zipped = F.filter(F.arrays_zip("texts", "marks", "containers"), lambda b: (b["containers"] == F.col("body")) | b["marks"] | ~F.col("has_marks"))
+    told = named.withColumn("has_marks", has_marks).join(body, F.xxhash64("host") == F.col("h"), "left").select("page_id", "url", "host", "body", zipped.alias("b"))
+    told = told.select("page_id", "url", "host", F.col("b.texts").alias("blocks"), F.transform("b.containers", lambda c: c != F.col("body")).alias("asked"))
+    some = F.exists("asked", lambda a: a)
+    told = save(told, "told")
+    out = told.where(~some).select("page_id", "url", F.array_join("blocks", "\n\n").alias("text"))
+    asked = told.where(some)
+    if not asked.isEmpty():
+        own = F.transform(F.filter(F.arrays_zip("blocks", "asked"), lambda b: b["asked"]), lambda b: b["blocks"])
+        tokens = F.aggregate(own, F.lit(0).cast("long"), lambda n, b: n + F.size(F.split(b, " ")))
+        large = save(asked.groupBy("host").agg(F.sum(tokens).alias("n")).where(F.col("n") > HOST_TOKENS).select("host"), "hot-hosts")
+        schema = f"page_id {id_kind}, url string, text string"
+        small = asked.join(large, "host", "left_anti").select("page_id", "url", "blocks", "asked", "host")
+        out = out.union(small.repartition(shuffle_width(spark), "host").sortWithinPartitions("host").mapInArrow(_hosts, schema))
+        if not large.isEmpty():
+            hot = asked.join(large, "host", "left_semi").withColumn("own", own).withColumn("page", F.md5(F.concat_ws("\n", "host", "own")))  # blocks hold no line ends
+            distinct = hot.groupBy("page").agg(F.first("host").alias("host"), F.first("own").alias("own"))
+            runs = save(distinct.select("page", "host", "own").mapInArrow(_runs, "page string, run binary, starts array<int>"), "runs")
+            repeated = runs.groupBy("run").count().where(F.col("count") >= PAGES).select("run")
+            starts = runs.join(repeated, "run", "left_semi").groupBy("page").agg(F.flatten(F.collect_list("starts")).alias("starts"))
+            out = out.union(hot.join(starts, "page", "left").select("page_id", "url", "blocks", "asked", "starts").mapInArrow(_hot, schema))
     return out.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
