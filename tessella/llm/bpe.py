@@ -1,14 +1,22 @@
 """Operator 5: BPE encoding and decoding, exact to the tokenizers library.
 
-A text is cut where no token can cross (at spaces), and each distinct piece is encoded once per
-worker. A long piece without such a place is encoded by tree concatenation: its leaves in one
-parallel call, then each join is repaired by encoding growing windows of tokens around it until
-both ends of a window agree with what stands on either side. Merges make every token in just one
-way, so a sequence is the encoding of its text if all its adjacent pairs are; agreement at both
-ends of a window is therefore exact.
-
-Nulls count as empty texts; empty texts have no ids; an empty table gives an empty one. Columns of
-the input other than the id and the text are not read. Repeated rows give repeated rows.
+A text is encoded by tree concatenation. It is cut in leaves of ``LEAF`` characters, wherever these end,
+and the leaves of all texts at hand are encoded in one call of the library, which takes as many threads
+as the task has cores. Then halves are joined, two by two, up to the whole text: the words around the
+join are encoded anew, in windows that grow until they begin with the left half's tokens and end with
+the right half's. What lies before the window's first word and after its last one can't change then,
+as a word's end depends on the character after it alone, so the result is exact.
+
+A run of over ``LONG_PIECE`` characters without a space is one word to the library, with no place inside
+to agree on. There the tree works on tokens: its leaves are encoded in parallel by the merges alone, and
+windows of tokens grow around each join. Merges make every token in just one way, so a sequence is the
+encoding of its text if all its adjacent pairs are; agreement at both ends is exact there too.
+
+``encode_many`` gives the same ids for operators that encode and go on (3 and 8): it cuts at spaces,
+where no token can cross, and keeps each distinct piece's ids in the worker.
+
+Nulls count as empty texts; empty texts have no ids; an empty table gives an empty one. A null id stays
+null. Columns of the input other than the id and the text are not read. Repeated rows give repeated rows.
 """
 
 from __future__ import annotations
@@ -19,6 +27,7 @@ import os
 import re
 from array import array
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -27,9 +36,12 @@ from pyspark.sql import functions as F
 
 from tessella.llm.common import blocks, claim, tune
 
-#: Pieces of more characters are encoded by tree concatenation, from leaves of this length.
-LONG_PIECE = 2048
-LEAF = 512
+#: Characters of a leaf of a text; words on either side that the first window at a join takes.
+LEAF, FIRST_WINDOW = 1024, 4
+#: Pieces without a space of more characters have trees of tokens, from leaves of this length.
+LONG_PIECE, TOKEN_LEAF = 2048, 512
+#: Bytes of texts whose leaves are encoded at once.
+TREE_BYTES = 1 << 20
 #: A worker forgets its pieces beyond this number; this bounds memory and changes no result.
 MOST_PIECES = 300_000
 #: Characters of a text that are split at once.
@@ -48,6 +60,92 @@ def _bytes_of_names() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
+#: Fixed: the characters that Unicode calls white space.
+_WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+#: A run that has a tree of its own, with the white space before it: a word may begin with that.
+_UNSPLIT = re.compile(rf"[{_WHITE}]?[^{_WHITE}]{{{LONG_PIECE + 1},}}")
+
+
+def _cores() -> int:
+    """Cores of this task, for the library's threads."""
+    from pyspark import TaskContext
+
+    task = TaskContext.get()
+    return task.cpus() if task else 1
+
+
+def _untrimmed(spec):
+    """A tokenizer's description, with words' places that include the spaces they begin with."""
+    if isinstance(spec, dict):
+        return {k: False if k == "trim_offsets" else _untrimmed(v) for k, v in spec.items()}
+    return [_untrimmed(x) for x in spec] if isinstance(spec, list) else spec
+
+
+class _Word(NamedTuple):
+    """A word of a half: its characters' places, its tokens, and the first one's place in its span."""
+
+    begin: int
+    end: int
+    ids: list[int]
+    place: int
+
+
+class _Span:
+    """Tokens ``first`` to ``after`` of an encoding whose text begins at a place of the whole."""
+
+    def __init__(self, encoding, base: int, ids: list[int] | None = None, first: int = 0, after: int | None = None):
+        self.encoding, self.base, self.first = encoding, base, first
+        self.ids = encoding.ids if ids is None else ids
+        self.after = len(self.ids) if after is None else after
+
+    @property
+    def is_whole(self) -> bool:
+        return self.first == 0 and self.after == len(self.ids)
+
+    def cut(self, first: int | None, after: int | None) -> _Span:
+        return _Span(self.encoding, self.base, self.ids, self.first if first is None else first, self.after if after is None else after)
+
+    def word(self, number: int) -> _Word:
+        first, after = self.encoding.word_to_tokens(number)
+        begin, end = self.encoding.word_to_chars(number)
+        return _Word(self.base + begin, self.base + end, self.ids[first:after], first)
+
+    def from_end(self, k: int) -> _Word | None:
+        """The word that is k words before the last one; None if the span has too few."""
+        if self.first == self.after:
+            return None
+        number = self.encoding.token_to_word(self.after - 1) - k
+        return self.word(number) if number >= self.encoding.token_to_word(self.first) else None
+
+    def from_start(self, k: int) -> _Word | None:
+        if self.first == self.after:
+            return None
+        number = self.encoding.token_to_word(self.first) + k
+        return self.word(number) if number <= self.encoding.token_to_word(self.after - 1) else None
+
+    def starts_with(self, word: _Word) -> bool:
+        own = self.from_start(0)
+        return own is not None and own[:3] == word[:3]
+
+    def ends_with(self, word: _Word) -> bool:
+        own = self.from_end(0)
+        return own is not None and own[:3] == word[:3]
+
+
+class _Half(NamedTuple):
+    """The tokens of a part's characters from ``begin`` to ``end``."""
+
+    begin: int
+    end: int
+    spans: list[_Span]
+
+    def last_word(self, k: int) -> _Word | None:
+        return self.spans[-1].from_end(k)
+
+    def first_word(self, k: int) -> _Word | None:
+        return self.spans[0].from_start(k)
+
+
 class _Codes(dict):
     """Numbers pieces as they are first seen. A piece that may not stand alone gets -1."""
 
@@ -68,12 +166,17 @@ class Encoder:
     """Encodes texts as ``Tokenizer.from_file(path).encode(text, add_special_tokens=False)`` does."""
 
     def __init__(self, path: str):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "true" if _cores() > 1 else "false")
+        from tokenizers import Tokenizer, normalizers
 
         self.path, self.tokenizer = path, Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        #: The same for texts that are normalised already.
+        self.plain = Tokenizer.from_str(json.dumps(_untrimmed(json.loads(self.tokenizer.to_str()))))
+        self.plain.normalizer = normalizers.Sequence([])
+        #: Joins made by windows, windows that had to grow, and joins that took both halves whole.
+        self.joins = self.grown = self.whole = 0
         spec = json.loads(self.tokenizer.to_str())
         self.suffix = spec["model"].get("end_of_word_suffix") or ""
         #: With a word suffix, white space is dropped before the merges; else a space belongs to the word that follows.
@@ -205,11 +308,15 @@ class Encoder:
             self._models = self._spec = self._merges = None  # made again when a long piece comes
         return self._quick
 
+    def normalised(self, text: str) -> str:
+        return text if self.tokenizer.normalizer is None else self.tokenizer.normalizer.normalize_str(text)
+
     def _long(self, piece: str) -> list[int]:
-        if self.tokenizer.normalizer is not None:
-            piece = self.tokenizer.normalizer.normalize_str(piece)
+        return self._unsplit(self.normalised(piece))
+
+    def _unsplit(self, run: str) -> list[int]:
         ids: list[int] = []
-        for part, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(piece):
+        for part, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(run):
             ids += self.tree(part)
         return ids
 
@@ -226,7 +333,7 @@ class Encoder:
             self._models = inner, last
         return self._models
 
-    def tree(self, part: str, leaf: int = LEAF) -> list[int]:
+    def tree(self, part: str, leaf: int = TOKEN_LEAF) -> list[int]:
         """Ids of one pre-token (in the tokenizer's byte alphabet), by tree concatenation."""
         inner, last = self._raw()
         names, cut = self.names, len(self.suffix)
@@ -255,7 +362,67 @@ class Encoder:
             level = [join(level[i], level[i + 1], i + 2 >= len(level)) if i + 1 < len(level) else level[i] for i in range(0, len(level), 2)]
         return level[0]
 
-    # -- whole texts
+    # -- whole texts by trees of their halves
+
+    def _join(self, part: str, left: _Half, right: _Half) -> _Half:
+        """Two halves that stand next to each other in ``part`` as one."""
+        self.joins += 1
+        words = FIRST_WINDOW
+        while (first := left.last_word(words)) and (last := right.first_word(words)):
+            window = _Span(self.plain.encode(part[first.begin : last.end], add_special_tokens=False), first.begin)
+            if window.starts_with(first) and window.ends_with(last):
+                middle = window.cut(0, len(window.ids) - len(last.ids))
+                return _Half(left.begin, right.end, [*left.spans[:-1], left.spans[-1].cut(None, first.place), middle, right.spans[0].cut(last.place, None), *right.spans[1:]])
+            self.grown += 1
+            words *= 2
+        self.whole += 1  # the windows have grown to the halves' ends
+        both = self.plain.encode(part[left.begin : right.end], add_special_tokens=False)
+        return _Half(left.begin, right.end, [_Span(both, left.begin)])
+
+    def encode_trees(self, texts: list[str | None], leaf: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """All ids in a row, and the number of each text's, by tree concatenation."""
+        leaf = leaf or LEAF
+        plans: list[list] = []  # for each text: ids, or a part and the place of its first leaf
+        leaves: list[str] = []
+
+        def grow(plan: list, part: str) -> None:
+            if part:
+                plan.append((part, len(leaves)))
+                leaves.extend(part[k : k + leaf] for k in range(0, len(part), leaf))
+
+        for text in texts:
+            plan: list = []
+            plans.append(plan)
+            for own in (self.special_re.split(text) if self.special_re is not None and "<|" in text else [text]) if text else []:
+                if own in self.special:
+                    plan.append([self.special[own]])
+                    continue
+                part, at = self.normalised(own), 0
+                for run in _UNSPLIT.finditer(part):
+                    grow(plan, part[at : run.start()])
+                    plan.append(self._unsplit(run[0]))
+                    at = run.end()
+                grow(plan, part[at:])
+        encoded = self.plain.encode_batch(leaves, add_special_tokens=False)
+        flat = array("I")
+        counts = np.zeros(len(texts), np.int64)
+        for i, plan in enumerate(plans):
+            before = len(flat)
+            for step in plan:
+                if isinstance(step, list):
+                    flat.extend(step)
+                    continue
+                part, place = step
+                level = [_Half(k, min(k + leaf, len(part)), [_Span(encoded[place + k // leaf], k)]) for k in range(0, len(part), leaf)]
+                while len(level) > 1:
+                    level = [self._join(part, level[k], level[k + 1]) if k + 1 < len(level) else level[k] for k in range(0, len(level), 2)]
+                for half in level:
+                    for span in half.spans:
+                        flat.extend(span.ids if span.is_whole else span.ids[span.first : span.after])
+            counts[i] = len(flat) - before
+        return np.frombuffer(flat, np.uint32).copy() if len(flat) else np.zeros(0, np.uint32), counts
+
+    # -- whole texts by their pieces
 
     def encode_many(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and the number of each text's."""
@@ -340,8 +507,8 @@ def encode_decode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
-        for block in blocks(batches, "text"):
-            ids, counts = enc.encode_many(block.column(1).to_pylist())
+        for block in blocks(batches, "text", TREE_BYTES):
+            ids, counts = enc.encode_trees(block.column(1).to_pylist())
             rows: dict[str, list] = {"ids_sha256": [], "decoded_sha256": [], "ids": [], "decoded": []}
             ends = np.cumsum(counts)
             for a, b in zip(ends - counts, ends, strict=True):
