@@ -10,9 +10,14 @@ Formats: e-mail addresses, card numbers (Luhn), North American and other interna
 numbers, IPv4 addresses, social security numbers, IBANs (mod 97), calendar dates in numbers, and
 secrets: long hexadecimal tokens, access keys, and what follows ``password=`` and the like.
 
-Null texts stay null with no values; empty texts stay empty. A text is one row whatever its length.
-Repeated rows get equal results. Other columns are passed through where ``keep`` asks for it. An empty
-table gives an empty one.
+A value has one rank however it is written: a date with the year first or last, day or month first; a
+telephone number with other spaces, brackets or without its country's 1; an address or hexadecimal token
+in other case. A day stays in its half of the month's days, those that could be a month's number and the
+others, so that what is read out of a date written with the year last doesn't change.
+
+Null texts stay null with no values; empty texts stay empty. A text is one row whatever its length, and
+null ids are passed on. Repeated rows get equal results. Other columns are passed through where ``keep``
+asks for it, whatever their names. An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -20,18 +25,19 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+import warnings
 from collections.abc import Callable, Iterator
 from datetime import date
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm.common import blocks, claim, tune
 
-#: A key for tests and benchmarks. Give your own, and keep it apart from the data.
-KEY = b"a key for tests, not for real data"
+#: The session's setting that holds the key. Without it the key is that of tests and benchmarks, with a warning: anyone can reverse that.
+KEY_SETTING, KEY = "spark.tessella.pii.key", b"a key for tests, not for real data"
 ROUNDS = 8
 _LOWER, _UPPER, _DIGIT = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 
@@ -96,12 +102,18 @@ def _chars(text: str, move: Callable[[int, int, bytes], int], kind: bytes, alpha
 Move = Callable[[int, int, bytes], int]
 
 
+def _cased(v: str, new: str) -> str:
+    """A value of lower-case letters with the capitals where ``v`` has them."""
+    return "".join(b.upper() if a in _UPPER else b for a, b in zip(v, new, strict=True))
+
+
 def _email(v: str, move: Move) -> str | None:
     local, _, domain = v.rpartition("@")
     if not local or local[0] == "." or local[-1] == "." or ".." in v:
         return None
     head, dot, top = domain.rpartition(".")
-    return _chars(f"{local}@{head}", move, b"email") + dot + top
+    own = f"{local}@{head}"
+    return _cased(own, _chars(own.lower(), move, b"email" + top.lower().encode())) + dot + top
 
 
 def _card(v: str, move: Move) -> str | None:
@@ -113,14 +125,18 @@ def _card(v: str, move: Move) -> str | None:
     return _fill(v, new + str(_luhn(new)))
 
 
+#: Fixed values of the international numbering plan: country codes of one and of two digits; the others have three.
+CODES = "1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()
+
+
 def _phone(v: str, move: Move) -> str | None:
     digits = re.sub(r"\D", "", v)
     if v.startswith("+") and digits[0] != "1":
-        code = re.match(r"\+(\d{1,3})", v)[1]
+        code = next((c for c in CODES if digits.startswith(c)), digits[:3])
         rest = digits[len(code) :]
         if not 6 <= len(rest) <= 12:
             return None
-        return _fill(v, code + str(move(int(rest), 10 ** len(rest), b"phone")).zfill(len(rest)))
+        return _fill(v, code + str(move(int(rest), 10 ** len(rest), b"phone" + code.encode())).zfill(len(rest)))
     lead = digits[:-10]
     own = digits[-10:]
     if len(own) != 10 or lead not in ("", "1"):
@@ -189,8 +205,8 @@ def _date(v: str, move: Move) -> str | None:
             continue
         if not 0 <= day < _DAYS:
             return None
-        # days whose number can be read either way are one format, the others two more; each is permuted within itself
-        d = _walk(day, move, b"date%d%d" % (year_first, k), lambda t: year_first or _reading(t) == _reading(day))
+        # days that could be a month's number are permuted among themselves, and so are the others, in all notations
+        d = _walk(day, move, b"date", lambda t: _reading(t) == _reading(day))
         out = (f"{d.year:04d}", f"{d.month:02d}", f"{d.day:02d}")
         pad = [a if len(b) > 1 else a.lstrip("0") for a, b in zip(out, (yy, mm, dd), strict=True)]
         return mark.join(pad if year_first else [pad[2], pad[1], pad[0]] if k == 0 else [pad[1], pad[2], pad[0]])
@@ -209,13 +225,19 @@ def _walk(day: int, move: Move, kind: bytes, fits: Callable[[int], bool]) -> dat
     return date.fromordinal(t + _FIRST_DAY)
 
 
+def _is_hex(v: str) -> bool:
+    return bool(re.search(r"[0-9]", v) and re.search(r"[a-fA-F]", v))
+
+
 def _hex(v: str, move: Move) -> str | None:
-    if not re.search(r"[0-9]", v) or not re.search(r"[a-fA-F]", v):
+    if not _is_hex(v):
         return None
-    lower, upper = "0123456789abcdef", "0123456789ABCDEF"
     if v != v.lower() and v != v.upper():
         return _chars(v, move, b"token")
-    return _chars(v, move, b"hex", [lower if v == v.lower() else upper] * len(v))
+    new = v.lower()
+    while not _is_hex(new := _chars(new, move, b"hex", ["0123456789abcdef"] * len(v))):
+        pass
+    return new if v == v.lower() else new.upper()
 
 
 def _access_key(v: str, move: Move) -> str | None:
@@ -236,7 +258,7 @@ KINDS: dict[str, tuple[str, Callable[[str, Move], str | None]]] = {
     "phone": (r"(?<![\w+.-])(?:\+\d{1,3}[ .-]?)?\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}(?![\w-])|(?<![\w+.-])\+\d{1,3}(?:[ .-]?\d{2,4}){2,4}(?![\w-])|(?<![\w+.-])(?:1[ .-])?\d{3}[.-]\d{3}[.-]\d{4}(?![\w-])", _phone),
     "card": (r"(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w-])", _card),
     "ssn": (r"(?<![\w.-])\d{3}-\d{2}-\d{4}(?![\w-])", _ssn),
-    "ip": (r"(?<![\w.-])\d{1,3}(?:\.\d{1,3}){3}(?![\w-])(?!\.\d)", _ip),
+    "ip": (r"(?<![\w.-])(?<!ersion )(?<!elease )(?<!ection )(?<!hapter )(?<!build )(?<!Build )\d{1,3}(?:\.\d{1,3}){3}(?![\w-])(?!\.\d)", _ip),
     "date": (r"(?<![\w./-])(?:\d{4}-\d{1,2}-\d{1,2}|\d{4}/\d{1,2}/\d{1,2}|\d{1,2}[/.-]\d{1,2}[/.-]\d{4})(?![\w/-])(?!\.\d)", _date),
 }
 _PATTERN = re.compile("|".join(f"(?P<{k}>{p})" for k, (p, _) in KINDS.items()), re.ASCII)
@@ -277,7 +299,15 @@ _EACH = {k: re.compile(p, re.ASCII) for k, (p, _) in KINDS.items()}
 _MAKERS: dict[bytes, Pseudonymiser] = {}
 
 
-def pseudonymise(df: DataFrame, key: bytes = KEY, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
+def session_key(spark: SparkSession) -> bytes:
+    """The key that the session names, else that of tests."""
+    named = spark.conf.get(KEY_SETTING, None)
+    if not named:
+        warnings.warn(f"{KEY_SETTING} is not set: pseudonyms are made with the key of tests", stacklevel=2)
+    return named.encode() if named else KEY
+
+
+def pseudonymise(df: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
     """Per row: doc_id, the text with pseudonyms, n_values, and kinds (their counts by kind, in order of kind); with ``keep`` the input's columns, the text replaced."""
     tune(df.sparkSession)
     if keep:
