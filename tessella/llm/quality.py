@@ -3,7 +3,7 @@
 The n-grams are words, word pairs, and the same two of the words' shapes (upper and lower case, digits
 and marks, runs as one), with a mark on a pair of equal words. A feature's value is its share of the
 document's n-grams, so length does not weigh. Training reads a bounded sample of the labelled rows
-(``TRAIN_ROWS``); scoring reads every whole text as a sparse dot product.
+(``TRAIN_ROWS``, ``TRAIN_FEATURES``); scoring reads every whole text as a sparse dot product.
 
 Null and empty texts have the score of the bias. Rows with a null label are not learned from; of
 several labels of a document the largest counts. Without labels all scores are 0.5. A null id is not
@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from tessella.llm.common import blocks, claim, tune
 
 DIM = 1 << 18
-#: Labelled documents that training reads at most, by the order of a hash of their ids; passes over them.
-TRAIN_ROWS, EPOCHS = 6000, 4
+#: Labelled documents that training reads at most, by the order of a hash of their ids; of these, as many as have so many features; passes over them.
+TRAIN_ROWS, TRAIN_FEATURES, EPOCHS = 6000, 40_000_000, 4
 #: FTRL: step, smoothing, and the two penalties.
 ALPHA, BETA, L1, L2 = 2.0, 1.0, 0.02, 0.02
 #: Distinct words that a worker keeps at most.
@@ -91,24 +91,29 @@ def features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return (found[order] & np.uint64(DIM - 1)).astype(np.int64), values, counts
 
 
-def train(texts: list[str | None], labels: list[int]) -> np.ndarray:
-    """Weights, the bias last."""
+def counted(texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Each text's distinct features, the bias last, and their values."""
+    out = []
+    for at in range(0, len(texts), 64):
+        idx, val, counts = features(texts[at : at + 64])
+        ends = np.cumsum(counts)
+        for a, b in zip(ends - counts, ends, strict=True):
+            u, inv = np.unique(idx[a:b], return_inverse=True)
+            out.append((np.append(u, DIM).astype(np.int32), np.append(np.bincount(inv, val[a:b], len(u)) if len(u) else np.zeros(0), 1.0).astype(np.float32)))
+    return out
+
+
+def train(rows: list[tuple[np.ndarray, np.ndarray]], labels: list[int]) -> np.ndarray:
+    """Weights, the bias last, learned by follow-the-regularised-leader from features and values."""
     z, n = np.zeros(DIM + 1), np.zeros(DIM + 1)
 
     def weights(z: np.ndarray, n: np.ndarray) -> np.ndarray:
         return np.where(np.abs(z) <= L1, 0.0, (np.sign(z) * L1 - z) / ((BETA + np.sqrt(n)) / ALPHA + L2))
 
-    rows = []
-    for at in range(0, len(texts), 64):
-        idx, val, counts = features(texts[at : at + 64])
-        ends = np.cumsum(counts)
-        for a, b, y in zip(ends - counts, ends, labels[at : at + 64], strict=True):
-            u, inv = np.unique(idx[a:b], return_inverse=True)
-            rows.append((np.append(u, DIM).astype(np.int32), np.append(np.bincount(inv, val[a:b], len(u)) if len(u) else np.zeros(0), 1.0).astype(np.float32), y))
     order = np.random.RandomState(5)
     for _ in range(EPOCHS):
         for k in order.permutation(len(rows)):
-            i, x, y = rows[k]
+            (i, x), y = rows[k], labels[k]
             w = weights(z[i], n[i])
             p = 1 / (1 + np.exp(-np.clip(w @ x, -30, 30)))
             g = (p - y) * x
@@ -129,18 +134,32 @@ def held_out(id_col: str) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", rows: int = TRAIN_ROWS) -> np.ndarray:
-    """Train on a bounded sample in one task; the driver gets the weights alone (1 MB)."""
+    """Train on a bounded sample in one task, which gets features, never texts; the driver gets the weights alone (1 MB)."""
     tune(docs.sparkSession)
     usable = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
     usable = usable.groupBy(F.col(id_col).cast("long").alias("doc_id")).agg((F.max(label_col) > 0).cast("int").alias("y"))
     some = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     known = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(some), "doc_id")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = sorted({(i, t or "", y) for b in batches for i, t, y in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True)})
-        yield pa.RecordBatch.from_pydict({"weights": pa.array([train([t for _, t, _ in got], [y for _, _, y in got]).tobytes()], pa.binary())})
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in blocks(batches, "text"):
+            made = counted(block.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([block.column(0), block.column(2), pa.array([i for i, _ in made], pa.list_(pa.int32())), pa.array([x for _, x in made], pa.list_(pa.float32()))], names=["doc_id", "y", "idx", "val"])
 
-    found = known.select("doc_id", "text", "y").coalesce(4).repartition(1).mapInArrow(run, "weights binary").first()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got, total = {}, 0
+        for b in batches:
+            for i, y, idx, val in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3), strict=True):
+                key, x = (i, idx.values.to_numpy().tobytes()), (idx.values.to_numpy(), val.values.to_numpy())
+                total += 0 if key in got else len(idx)
+                if total <= TRAIN_FEATURES:  # of repeated rows one is learned
+                    got[key] = (x, y)
+        rows = [got[k] for k in sorted(got)]
+        yield pa.RecordBatch.from_pydict({"weights": pa.array([train([x for x, _ in rows], [y for _, y in rows]).tobytes()], pa.binary())})
+
+    made = known.select("doc_id", "text", "y").mapInArrow(count, "doc_id long, y int, idx array<int>, val array<float>")
+    ordered = made.repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id", "idx")
+    found = ordered.mapInArrow(run, "weights binary").first()
     return np.frombuffer(bytes(found["weights"]), np.float32) if found else np.zeros(DIM + 1, np.float32)
 
 
