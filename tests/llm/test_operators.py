@@ -12,6 +12,7 @@ import numpy as np
 import pytest
 
 P = pytest.importorskip("public_tokenizers")
+from pyspark.sql import functions as F  # noqa: E402
 from tokenizers import Tokenizer  # noqa: E402
 
 from tessella.llm import bpe, cdc, exact_dedup, html, near_text, packing, pii, quality, simhash, warc, wavelet  # noqa: E402
@@ -80,6 +81,29 @@ def test_exact_splits_large_groups(spark, monkeypatch):
     assert {r.doc_id: r.keep_id for r in got} == {i: want[t] for i, t in enumerate(texts)}
 
 
+def test_exact_with_long_shared_starts(spark, monkeypatch):
+    """Large groups skip what they share; copies that stand in many blocks are settled by an aggregate."""
+    monkeypatch.setattr(exact_dedup, "LARGE_GROUP", 8)
+    monkeypatch.setattr(exact_dedup, "LARGE_BYTES", 1 << 20)
+    monkeypatch.setattr(exact_dedup, "BLOCK", 1 << 16)
+    rounds, save = [], exact_dedup.save
+    monkeypatch.setattr(exact_dedup, "save", lambda df, name: rounds.append(name) or save(df, name))
+    start = "a shared start " * 8000
+    texts = [start + str(i % 70) for i in range(90)] + ["one copy"] * 40 + ["ONE copy", "one copy!", "", start] + [start + "x" * i for i in range(12)] + [start + "y" * 5000 + str(i) for i in range(30)]
+    got = exact_dedup.exact_duplicates(spark.createDataFrame([(i, 9, t) for i, t in enumerate(texts)], "doc_id long, at long, text string").repartition(6)).collect()
+    groups = collections.defaultdict(list)
+    for i, t in enumerate(texts):
+        groups[t.translate(LOW)].append(i)
+    assert {(r.doc_id, r.keep_id, r.group_size, r.text_sha256) for r in got} == {(i, max(g), len(g), hashlib.sha256(t.encode()).hexdigest()) for t, g in groups.items() for i in g}
+    assert sorted(r.doc_id for r in got if r.kept) == sorted(map(max, groups.values()))
+    assert 2 < rounds.count("exact-large") < 6
+
+
+def test_shared_starts():
+    for a, b, n in ((b"", b"", 0), (b"abc", b"abc", 3), (b"abc", b"abd", 2), (b"", b"x", 0), (b"x" * 9000 + b"a", b"x" * 9000, 9000)):
+        assert exact_dedup.shared_start(a, b) == exact_dedup.shared_start(b, a) == n
+
+
 def test_radix_groups():
     rng = random.Random(3)
     texts = [bytes(rng.choice(b"ab") for _ in range(rng.randrange(40))) for _ in range(400)] + [b"x" * 70_000] * 3 + [b"x" * 70_001]
@@ -106,6 +130,48 @@ def test_fingerprints(docs, rows, none):
     assert cdc.fingerprint_documents(none).count() == 0
 
 
+def _naive_chunks(data):
+    """A gear hash a byte at a time: the last 32 bytes count, as each shift drops one bit."""
+    ends, start = [], 0
+    while start < len(data):
+        end = len(data)
+        for i in range(start + 1, min(len(data), start + cdc.MOST) + 1):
+            h = 0
+            for b in data[max(0, i - cdc.WINDOW) : i]:
+                h = (h << 1) + int(cdc.GEAR[b]) & 0xFFFFFFFF
+            mask = int(cdc.STRICT) if i - start < cdc.NORMAL else int(cdc.LOOSE)
+            if i - start >= cdc.LEAST and i < len(data) and h & mask == 0:
+                end = i
+                break
+        else:
+            end = min(len(data), start + cdc.MOST)
+        ends.append(end)
+        start = end
+    return ends
+
+
+def test_chunks_by_a_plain_loop():
+    rng = random.Random(15)
+    for n in (0, 1, 24, 25, 63, 64, 65, 700, 3000):
+        for data in (bytes(rng.randrange(256) for _ in range(n)), rng.choice([b"ab ", b"x"]) * n, " ".join(rng.choice(WORDS) for _ in range(n // 4)).encode()):
+            assert cdc.chunk_ends(data) == _naive_chunks(data)
+
+
+def test_likeness_by_hand():
+    texts = [" ".join(random.Random(k).choice(WORDS) for _ in range(200)).encode() for k in range(3)]
+    texts += [texts[0][:600] + texts[1][600:], b""]
+
+    def chunks(data):
+        ends = _naive_chunks(data)
+        return {hashlib.sha256(data[a:b]).digest(): b - a for a, b in zip([0, *ends], ends, strict=False)}
+
+    for a in texts:
+        for b in texts:
+            x, y = chunks(a), chunks(b)
+            want = 1.0 if x == y else sum(n for k, n in x.items() if k in y) / sum(x.values()) if x else 0.0
+            assert cdc.likeness(cdc.fingerprint(a), cdc.fingerprint(b)) == pytest.approx(want)
+
+
 def test_one_document_follows_itself(spark):
     r = cdc.fingerprint_documents(spark.createDataFrame([(5, "one two three four five six")], "doc_id long, text string")).collect()
     assert len(r) == 1 and r[0].near_next == 1.0
@@ -142,6 +208,34 @@ def test_encoder_equals_the_library(path, rows):
     assert [enc.decode(x) for _, x in want[:200]] == [tok.decode(x, skip_special_tokens=False) for _, x in want[:200]]
 
 
+@pytest.mark.parametrize("path", [WORD, BYTE])
+@pytest.mark.parametrize("leaf", [1, 7, 64, None])
+def test_trees_of_texts_equal_the_library(path, leaf, rows):
+    want, tok = _library(path, rows)
+    rng = random.Random(18)
+    odd = ["a", "B", "é", "ÀÉ", " ", "  ", "\n", "\t", "'s", "'", "1", "½", "!!", ".", "<|endoftext|>", "<|startoftext|>", "<|", "\x1c", "\x01", "\xa0", "漢字", "\u0301", "İ", "ſ", "It's", "naïve", "🙂", "e\u0301\u0323", " word"]
+    fuzz = ["".join(rng.choice(odd) for _ in range(rng.randrange(60))) for _ in range(700)]
+    fuzz += ["word " * 900 + "x" * 3000 + "\n  " + "y z " * 500, "\u0301" * 700 + " a" * 700, "Ab" * 5000, " " * 3000 + "a  " * 900]
+    want += [(None, tok.encode(t, add_special_tokens=False).ids) for t in fuzz]
+    enc = bpe.Encoder(path)
+    ids, counts = enc.encode_trees([t for _, t in rows] + fuzz, leaf)
+    ends = np.cumsum(counts)
+    assert [ids[b - n : b].tolist() for n, b in zip(counts, ends, strict=True)] == [x for _, x in want]
+    assert enc.joins > 10
+
+
+def test_windows_grow_at_joins(rows):
+    """Joins are taken on plain prose, most by their first window; words of many tokens and unsplit halves make them grow."""
+    enc, tok = bpe.Encoder(WORD), Tokenizer.from_file(WORD)
+    prose = " ".join(random.Random(4).choice(WORDS) for _ in range(4000))
+    assert enc.encode_trees([prose], 256)[0].tolist() == tok.encode(prose, add_special_tokens=False).ids
+    assert enc.joins == -(-len(enc.normalised(prose)) // 256) - 1 and enc.whole == 0 and enc.grown < enc.joins / 10
+    enc = bpe.Encoder(WORD)
+    unsplit = "antidisestablishmentarian" * 60
+    assert enc.encode_trees([unsplit], 100)[0].tolist() == tok.encode(unsplit, add_special_tokens=False).ids
+    assert enc.whole > 0
+
+
 @pytest.mark.parametrize("path", [WORD, BYTE])
 def test_tree_concatenation(path):
     enc, tok, rng = bpe.Encoder(path), Tokenizer.from_file(path), random.Random(2)
@@ -351,6 +445,44 @@ def test_near_text_compares_a_large_bucket_whole(spark):
     assert [i for i in near if i not in found] == [] and len({found[i] for i in near}) == 1
 
 
+@pytest.mark.parametrize("part", [16, 2048])
+def test_near_text_loses_no_link_of_a_hot_group(spark, monkeypatch, part):
+    """Every pair that some table brings together and that is alike is in one group, whatever the sizes of runs and parts; no other is."""
+    monkeypatch.setattr(near_text, "PART", part)
+    monkeypatch.setattr(near_text, "RUN", 64)
+    rng = random.Random(21)
+    vocabulary = [f"v{i}" for i in range(4000)]
+    original = [rng.choice(vocabulary) for _ in range(150)]
+    texts = []
+    for k in range(700):  # from hardly to much edited, so that links are sparse
+        own = list(original)
+        for at in rng.sample(range(150), rng.randrange(1, 14)):
+            own[at] = rng.choice(vocabulary)
+        texts.append(" ".join(own if k % 5 else own[: rng.randrange(120, 150)]))
+    texts += [" ".join(rng.choice(vocabulary) for _ in range(100)) for _ in range(60)] + texts[:30]
+    found = {r.node: r.root for r in near_text.similar_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)).collect()}
+    sets = [near_text.shingles(t.encode()) for t in texts]
+    family = [m & (1 << 64) - 1 for m in near_text.masks()]
+    prints = [near_text.word_fingerprint(t.encode()) & (1 << 64) - 1 for t in texts]
+    root = list(range(len(texts)))
+
+    def find(a):
+        while root[a] != a:
+            a = root[a]
+        return a
+
+    links = 0
+    for a in range(len(texts)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if both >= 0.8 * (len(sets[a]) + len(sets[b]) - both) and any(not (prints[a] ^ prints[b]) & m for m in family):
+                links += 1
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    assert links > 1000 and len({find(i) for i in range(len(texts))}) > 100
+    assert [found.get(i, i) for i in range(len(texts))] == [find(i) for i in range(len(texts))]
+
+
 def test_near_text_sketches_reject_no_link():
     """Sets of 0.8 likeness and more differ in few enough bits, whatever the sizes and hashes."""
     rng = np.random.RandomState(9)
@@ -374,6 +506,53 @@ def test_wide_masks_cover():
         assert any(not m & some for m in family)
 
 
+def test_training_by_plain_ftrl():
+    """Follow-the-regularised-leader one weight at a time, on features counted one by one."""
+    rng = random.Random(7)
+    texts = ["".join(rng.choice("ab C1!  ") for _ in range(rng.randrange(60))) for _ in range(40)] + ["", "same same same"]
+    labels = [rng.randrange(2) for _ in texts]
+    rows = quality.counted(texts)
+    for (idx, val), text in zip(rows, texts, strict=True):
+        assert idx[-1] == quality.DIM and val[-1] == 1 and len(set(idx.tolist())) == len(idx)
+        n = len(text.split())
+        assert val[:-1].sum() == pytest.approx((4 * n - 2) / n if n else 0, rel=1e-5)  # words, shapes and the pairs of both
+    z, n = collections.defaultdict(float), collections.defaultdict(float)
+
+    def weight(i):
+        if abs(z[i]) <= quality.L1:
+            return 0.0
+        return ((quality.L1 if z[i] > 0 else -quality.L1) - z[i]) / ((quality.BETA + n[i] ** 0.5) / quality.ALPHA + quality.L2)
+
+    order = np.random.RandomState(5)
+    for _ in range(quality.EPOCHS):
+        for k in order.permutation(len(rows)):
+            pairs = [(int(i), float(x)) for i, x in zip(*rows[k], strict=True)]
+            w = {i: weight(i) for i, _ in pairs}
+            p = 1 / (1 + np.exp(-sum(w[i] * x for i, x in pairs)))
+            for i, x in pairs:
+                g = (p - labels[k]) * x
+                sigma = ((n[i] + g * g) ** 0.5 - n[i] ** 0.5) / quality.ALPHA
+                z[i] += g - sigma * w[i]
+                n[i] += g * g
+    got = quality.train(rows, labels)
+    for i in range(quality.DIM + 1):
+        if got[i] or i in z:
+            assert got[i] == pytest.approx(weight(i), rel=1e-3, abs=1e-5)
+
+
+def test_quality_of_odd_rows(spark, monkeypatch):
+    """Empty tables, repeated rows, long texts, columns whose names clash; a bound on features."""
+    docs = spark.createDataFrame([(i, "good words here" if i % 2 else "BAD!! " * (i % 7 + 1), "x") for i in range(60)] * 2 + [(100, "long " * 200_000, "x")], "doc_id long, text string, score string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    weights = quality.fit(docs, labels)
+    np.testing.assert_array_equal(weights, quality.fit(docs.distinct(), labels))
+    got = quality.score(docs, weights, keep=True).collect()
+    assert len(got) == 121 and all((r.quality_score >= 0.5) == bool(r.doc_id % 2) and r.score == "x" for r in got if r.doc_id < 60)
+    assert quality.score(docs.limit(0), weights).count() == 0 and not quality.fit(docs.limit(0), labels).any()
+    monkeypatch.setattr(quality, "TRAIN_FEATURES", 0)
+    assert not quality.fit(docs, labels).any()
+
+
 def test_masks_cover_every_three_bits():
     rng = random.Random(1)
     for level in range(3):
@@ -450,6 +629,39 @@ def test_plan_packs_all(seed):
     assert sum(n for _, n in plan) <= lower * 1.12 + 3
 
 
+def test_small_plans_are_near_the_optimum():
+    """Against the least number of sequences, by trying all."""
+    rng = random.Random(3)
+
+    def least(lengths):
+        best = len(lengths)
+
+        def place(k, rooms):
+            nonlocal best
+            if len(rooms) >= best:
+                return
+            if k == len(lengths):
+                best = len(rooms)
+                return
+            for r in sorted(set(rooms)):
+                if r >= lengths[k]:
+                    rest = list(rooms)
+                    rest[rest.index(r)] -= lengths[k]
+                    place(k + 1, rest)
+            place(k + 1, [*rooms, 1024 - lengths[k]])
+
+        place(0, [])
+        return best
+
+    extra = 0
+    for _ in range(120):
+        lengths = sorted((rng.choice([rng.randrange(1, 1025), 512, 300, 724, 340]) for _ in range(rng.randrange(1, 9))), reverse=True)
+        got = sum(n for _, n in packing.plan(collections.Counter(lengths)))
+        extra += got - least(lengths)
+        assert got <= least(lengths) + 1
+    assert extra <= 3
+
+
 def test_exact_complements():
     assert sum(n for _, n in packing.plan({700: 10, 324: 10, 500: 4, 400: 4, 124: 4, 256: 8})) == 10 + 4 + 2
 
@@ -476,40 +688,148 @@ def test_main_text(spark):
     <div class="cookie-notice">We use cookies</div><div class="ad">Buy</div><article><header><h1>Head &amp; <i>line</i></h1></header><p>One<br>two &lt;3&nbsp; x
     <p><b>Three<p>Four</b> five<div class="share">Share</div><form><input>Send</form><aside>More</aside><script>var a = "</p>";</script><!-- hidden <p>no</p> -->
     <ul><li>Item<li>Other</ul><table><tr><td>Cell</td></tr></table><section id="comments"><p>First!</p></section></article><footer>&copy; 2024</footer></body></html>"""
-    assert html.page_blocks(page) == (["Head & line", "One two <3 x", "Three", "Four five", "Item", "Other", "Cell"], True)
-    assert html.page_blocks("") == ([], False) and html.page_blocks("plain < text & more") == (["plain < text & more"], False)
-    assert html.page_blocks("<div class='ad'>x<article><p>y</article>")[0] == ["y"]
-    unclosed = "<article><p>y" + "<b>" * 50
-    assert html.page_blocks(unclosed)[0] == ["y"]
-
-
-def test_boilerplate_of_unmarked_pages(spark):
+    found = html.page_blocks(page)
+    assert [b.text for b in found] == ["Head & line", "One two <3 x", "Three", "Four five", "Item", "Other", "Cell"]
+    assert all(b.marked for b in found) and len({b.container for b in found}) == 1
+    texts = lambda h: [b.text for b in html.page_blocks(h)]
+    assert html.page_blocks("") == [] and texts("plain < text & more") == ["plain < text & more"]
+    assert texts("<div class='ad'>x<article><p>y</article>") == ["y"]
+    assert texts("<article><p>y" + "<b>" * 50) == ["y"]
+    assert texts("<p title=it's>a</p><p title='x > y'>b</p><p title=\"never closed>c</p><p>d") == ["a", "b", "c", "d"]
+    assert texts("a<![CDATA[<b>]]>c<?php x ?>d<!-- e") == ["a<b>cd"] and texts("x<p hidden>y</p>z<br") == ["x", "z"]
+    rows = [(1, "u", "<main><p>The main text.</p><article><p>A teaser.</p></article></main>")]
+    assert html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).first().text == "The main text.\n\nA teaser."
+
+
+def test_parser_against_the_standard_library():
+    """Well-formed markup without names: the same blocks as by the parser of the standard library."""
+    from html.parser import HTMLParser
+
+    class Texts(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.found, self.parts = [], []
+
+        def end(self):
+            text = " ".join("".join(self.parts).split())
+            self.found += [text] if text else []
+            self.parts = []
+
+        def handle_starttag(self, tag, attrs):
+            self.parts += [" "] if tag == "br" else []
+            if tag not in html.INLINE:
+                self.end()
+
+        def handle_endtag(self, tag):
+            if tag not in html.INLINE:
+                self.end()
+
+        def handle_data(self, data):
+            self.parts.append(data)
+
+    rng = random.Random(11)
+
+    def tree(depth):
+        out = []
+        for _ in range(rng.randrange(1, 5)):
+            kind = rng.randrange(6) if depth else 0
+            if kind < 3:
+                out.append(rng.choice(["two words", " x ", "&amp; &lt;p&gt; &eacute;&#39;", "a\n\tb", "1 > 0", "<br>", "<!-- <p> -->", "<i>in</i>line", '<a href="?a=1&b=>">link</a>']))
+            else:
+                tag = rng.choice(["div", "section", "ul", "h2", "blockquote", "table"])
+                out.append(f'<{tag} title="x > y">{tree(depth - 1)}</{tag}>')
+        return "".join(out)
+
+    for _ in range(300):
+        page = tree(4)
+        parser = Texts()
+        parser.feed(page)
+        parser.close()
+        parser.end()
+        assert [b.text for b in html.page_blocks(page)] == parser.found
+
+
+@pytest.mark.parametrize("bad", ['<a x="', "<a ", "<a x=>", '<a ">', "<![CDATA[", "<!--", "<!x", "</i>", "<div>t", "<b></i>", '<p title="'])
+def test_parsing_takes_time_in_proportion(bad):
+    import time
+
+    page = "<b>" * 30_000 + bad * (600_000 // len(bad)) + ">"
+    began = time.process_time()
+    html.page_blocks(page)
+    assert time.process_time() - began < 4
+
+
+def _brute_main_texts(rows):
+    """The whole extraction without suffixes, hashes or partitions."""
+    pages = []
+    for i, url, page in rows:
+        m = re.match(r"[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", url or "")
+        pages.append((i, (m[1] if m else "").lower(), html.page_blocks(page or "")))
+    out = {}
+    for host in {h for _, h, _ in pages}:
+        own = [(i, b) for i, h, b in pages if h == host]
+        sizes = collections.Counter()
+        for container, text in {(b.container, b.text) for _, p in own for b in p}:
+            sizes[container] += len(text)
+        body = max(((n, c) for c, n in sizes.items()), default=(0, None))[1]
+        kept = {i: [b for b in p if b.container == body or b.marked or not any(x.marked for x in p)] for i, p in own}
+        asked = {i: [b.text for b in p if b.container != body] for i, p in kept.items()}
+        on = collections.defaultdict(set)
+        for p in set(map(tuple, asked.values())):
+            words = " ".join(p).split()
+            for k in range(len(words) - html.DEPTH + 1):
+                on[tuple(words[k : k + html.DEPTH])].add(p)
+        for i, p in kept.items():
+            words = " ".join(asked[i]).split()
+            hit = [False] * len(words)
+            for k in range(len(words) - html.DEPTH + 1):
+                if len(on[tuple(words[k : k + html.DEPTH])]) >= html.PAGES:
+                    hit[k : k + html.DEPTH] = [True] * html.DEPTH
+            at, stay = 0, []
+            for b in p:
+                n = len(b.text.split())
+                if b.container == body or not all(hit[at : at + n]):
+                    stay.append(b.text)
+                at += n if b.container != body else 0
+            out[i] = "\n\n".join(stay)
+    return out
+
+
+def test_boilerplate_of_a_host(spark):
     rng = random.Random(3)
     line = "All rights are reserved by the owners of this site and others"
     own = [" ".join(rng.choice(string.ascii_lowercase) * rng.randrange(2, 9) for _ in range(30)) for _ in range(12)]
-    rows = [(k, f"http://h.example/{k}", f"<body><div>{line}</div><p>{t}</p><div>{line} {k}</div></body>") for k, t in enumerate(own)]
-    rows += [(100, "http://other.example/", f"<p>{line}</p>"), (101, None, None), (102, "http://h.example/a", f"<article><p>{line}</p></article>")]
+    rows = [(k, f"http://h.example/{k}", f"<body><div>{line}</div><p>{t}</p><p>{line}</p><div>{line} {k}</div></body>") for k, t in enumerate(own)]
+    rows += [(100, "http://other.example/", f"<p>{line}</p>"), (101, None, None), (102, "http://h.example/a", f"<article><p>{line}</p></article>"), (103, "http://H.example/b", f"<article><p>{line} {line} new</p></article><p>{own[0]}</p>")]
     got = {r.page_id: r for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
-    assert all(got[k].text == f"{t}\n\n{line} {k}" for k, t in enumerate(own))
-    assert got[100].text == line and (got[101].text, got[101].n_chars) == ("", 0) and got[102].text == line
+    # what repeats in the body stays; elsewhere it goes, marked or not, if all of a block repeats
+    assert all(got[k].text == f"{t}\n\n{line}\n\n{line} {k}" for k, t in enumerate(own))
+    assert got[100].text == line and (got[101].text, got[101].n_chars) == ("", 0) and got[102].text == ""
+    assert got[103].text == f"{line} {line} new"
+    assert {i: r.text for i, r in got.items()} == _brute_main_texts(rows)
     assert html.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
-def test_boilerplate_is_sought_over_the_whole_host(spark):
-    """Runs on few pages of a large host, with its pages in any partitions; equal pages count as one."""
+@pytest.mark.parametrize("host_tokens", [1 << 20, 300])
+def test_whole_hosts_by_brute_force(spark, monkeypatch, host_tokens):
+    """Runs on few pages of a large host, pages in any partitions, hosts in one task or many: the same texts. Repeated rows, null and long pages, columns whose names clash."""
+    monkeypatch.setattr(html, "HOST_TOKENS", host_tokens)
     rng = random.Random(8)
     shared = [" ".join(f"s{k}x{i}" for i in range(10)) for k in range(60)]
-    pages = [[f"{shared[k % 60]}", " ".join(f"p{rng.randrange(10**9)}" for _ in range(9))] for k in range(180)]
-    pages += [[" ".join(f"q{rng.randrange(10**9)}" for _ in range(9))] for _ in range(400)]
-    pages += [["twice on one page and again on another " * 2], ["twice on one page and again on another " * 2 + "x"]]
-    pages += [["these words are on three rows but on one distinct page"]] * 3
-    rng.shuffle(pages)
-    pages = [[b.strip() for b in p] for p in pages]
-    rows = [(k, "http://Hot.example/", "".join(f"<p>{b}</p>" for b in p)) for k, p in enumerate(pages)]
-    want = {k: "\n\n".join(b for b, gone in zip(p, c, strict=True) if not gone) for k, (p, c) in enumerate(zip(pages, html.covered(pages), strict=True))}
+    word = lambda: f"p{rng.randrange(10**9)}"
+    rows = []
+    for k in range(240):
+        aside = "".join(f"<div class=box>{rng.choice([shared[k % 60], shared[(k + 1) % 60] + ' ' + word(), ' '.join(word() for _ in range(9))])}</div>" for _ in range(rng.randrange(4)))
+        body = "".join(f"<p>{' '.join(word() for _ in range(14))}</p><p>{shared[k % 60]}</p>" for _ in range(rng.randrange(3)))
+        host = "Hot.example" if k % 3 else f"h{k % 7}.example"
+        rows.append((k, f"http://{host}/{k}", (aside + body, f"{aside}<main>{body}</main>", f"<main>{aside}<article>{body}</article></main>")[k % 4 % 3]))
+    rows += [(300, "http://hot.example/", "<div class=box>" + "twice on one page " * 9), (301, "http://hot.example/", None), (302, None, "<p>no host"), (303, "", ""), (304, "http://hot.example/l", f"<p>{'long ' * 60_000}</p><div class=box>{shared[3]}</div>")]
+    want = _brute_main_texts(rows)
+    again = [(i, u, h, "x") for i, u, h in rows + rows[:9]]
+    assert sum(any(x in t for x in shared) for t in want.values()) > 20
     for parts in (1, 7):
-        got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(parts)).collect()}
-        assert got == want and not any(" s" in f" {t}" for t in got.values())
+        got = html.extract(spark.createDataFrame(again, "page_id long, url string, html string, blocks string").repartition(parts)).collect()
+        assert len(got) == len(again) and all(r.text == want[r.page_id] and r.n_chars == len(r.text) for r in got)
 
 
 def test_covered_runs_by_brute_force():
@@ -553,7 +873,29 @@ def test_pseudonyms(spark):
     rows = [(1, PRIVATE), (2, CLEAN), (3, None), (4, ""), (None, PRIVATE)]
     got = pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string"), b"k1").collect()
     assert [(r.doc_id, r.text, r.n_values) for r in got] == [(1, new, 12), (2, CLEAN, 0), (3, None, 0), (4, "", 0), (None, new, 12)]
-    assert pii.pseudonymise(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+    assert pii.pseudonymise(spark.createDataFrame([], "doc_id long, text string"), b"k1").count() == 0
+    docs = spark.createDataFrame([(7, "a " * 300_000 + PRIVATE, "x"), (7, PRIVATE, "x"), (7, PRIVATE, "x")], "doc_id long, text string, kinds string")
+    kept = pii.pseudonymise(docs, b"k1", keep=True).collect()
+    assert [(r.doc_id, r.text, r.kinds) for r in kept] == [(7, "a " * 300_000 + new, "x"), (7, new, "x"), (7, new, "x")]
+
+
+def test_one_value_in_many_notations():
+    one = pii.Pseudonymiser(b"k").apply
+    day = lambda t: sorted(map(int, re.findall(r"\d+", t)))
+    for year, month, d in ((2001, 12, 25), (1987, 3, 31), (2012, 5, 5), (1999, 7, 4)):
+        written = [f"{year}-{month:02}-{d:02}", f"{year}/{month:02}/{d:02}", f"{d:02}/{month:02}/{year}", f"{d:02}.{month:02}.{year}", f"{d:02}-{month:02}-{year}"]
+        written += [f"{month:02}/{d:02}/{year}"] if d > 12 else []
+        new = [one(w)[0] for w in written]
+        assert len({tuple(day(n)) for n in new}) == 1 and new[0] != written[0]
+        assert [pii.Pseudonymiser(b"k", back=True).apply(n)[0] for n in new] == written
+    digits = lambda ts: {re.sub(r"\D", "", one(t)[0])[-10:] for t in ts}
+    for same in (["+49 30 1234567", "+49301234567", "+49-30-1234567"], ["+1 (743) 555-3824", "743-555-3824", "1-743-555-3824", "(743) 555-3824", "+1 743 555 3824"], ["4111 1111 1111 1111", "4111111111111111", "4111-1111-1111-1111"], ["+351 912 345 678", "+351912345678"]):
+        assert len(digits(same)) == 1 and digits(same) != digits([same[0][:-1] + "9"])
+    lower = lambda ts: {one(t)[0].replace(" ", "").lower() for t in ts}
+    for same in (["Ann.Bee@Mail.example.com", "ann.bee@mail.EXAMPLE.com"], ["DE89 3704 0044 0532 0130 00", "DE89370400440532013000"], ["24BE64439E3E49CF46B2D7C90F3602A3", "24be64439e3e49cf46b2d7c90f3602a3"]):
+        assert len(lower(same)) == 1 and not lower(same) & {t.replace(" ", "").lower() for t in same}
+    for clean in ("version 1.2.3.4", "see section 10.2.3.1 of it", "Release 4.4.0.12 is out"):
+        assert one(clean) == (clean, [])
 
 
 @pytest.mark.parametrize("size", [1, 2, 7, 100, 1000])
@@ -571,6 +913,35 @@ def test_dates_stay_apart():
     assert [pii.Pseudonymiser(b"k", True).one("date", d) for d in new[:60]] == days[:60]
 
 
+def test_shards_hold_about_equal_bytes(spark, monkeypatch):
+    """A value that fills several shards is dealt by its ties, in order; shards follow the bytes, not the rows."""
+    from tessella.llm import common
+
+    monkeypatch.setattr(common, "SHARD_BYTES", 20_000)
+    monkeypatch.setattr(common, "WEIGHT_STEP", 64)
+    rows = [(i, "x" * (2000 if 500 <= i < 540 else 10)) for i in range(2000)] + [(None, "n" * 500 + str(k)) for k in range(200)]
+    df = spark.createDataFrame(rows, "id long, t string")
+    placed, bounds, shards = common.with_shard(df, "id", F.octet_length("t"), F.xxhash64("t"))
+    got = placed.groupBy("shard").agg(F.sum(F.octet_length("t")).alias("n"), F.min("id").alias("a"), F.max("id").alias("b"), F.count_if(F.col("id").isNull()).alias("null")).orderBy("shard").collect()
+    assert shards == -(-sum(len(t) for _, t in rows) // 20_000) and max(r.n for r in got) < 60_000
+    assert sum(r.null > 0 for r in got) > 2
+    known = [r for r in got if r.a is not None]
+    assert all(x.b < y.a for x, y in zip(known, known[1:]))
+    assert common.with_shard(df.limit(0), "id", F.octet_length("t"))[0].count() == 0
+
+
+@pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.001"), reason="needs the test tables")
+@pytest.mark.parametrize("name", [n for n in QUERIES if n != "pipeline"])
+def test_queries_on_the_smallest_tables(spark, name):
+    sf, table = "/root/testdata/sf0.001", "pages" if name.split("_")[0] in ("op7", "op9") else "documents"
+    got = QUERIES[name](spark, sf)
+    key = "page_id" if table == "pages" else "doc_id"
+    rows = got.collect()
+    assert {r[key] for r in rows} == {r[0] for r in spark.read.parquet(f"{sf}/{table}.parquet").select(key).collect()}
+    if name != "op8_packing":
+        assert len(rows) == spark.read.parquet(f"{sf}/{table}.parquet").count()
+
+
 def test_names_of_queries():
     assert [n.split("_")[0] for n in QUERIES] == [f"op{i}" for i in range(1, 11)] + ["pipeline"]
 
@@ -592,6 +963,21 @@ def test_copies_among_rows_of_one_id(spark):
     assert C.drop_copies(spark, docs.limit(0), "").count() == 0
 
 
+def test_near_copies_among_rows_of_one_id(spark):
+    """Rows are told apart whatever their ids: repeated, null, or one id with several texts; other columns' names may clash."""
+    import corpus_pipeline as C
+
+    rng = random.Random(4)
+    long = [f"w{rng.randrange(900)}" for _ in range(200)]
+    near = " ".join([*long[:100], "edited", *long[101:]])
+    long, other = " ".join(long), " ".join(f"o{rng.randrange(900)}" for _ in range(90))
+    rows = [(7, long, 1), (7, other, 2), (3, near, 3), (3, near, 3), (None, long, 4), (None, other, 5), (None, "alone", 6), (9, "alone", 7), (5, None, 8), (6, "", 9), (None, None, 10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row_key long")
+    got = sorted(((r.doc_id, r.text, r.row_key) for r in C.drop_near_copies(spark, docs, "").collect()), key=str)
+    assert got == sorted([(3, near, 3), (7, other, 2), (9, "alone", 7), (5, None, 8)], key=str)
+    assert C.drop_near_copies(spark, docs.limit(0), "").count() == 0
+
+
 @pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.001"), reason="needs the test tables")
 def test_pipeline_against_its_stages_alone(spark):
     """Each stage on its own input, by brute force."""
@@ -621,7 +1007,7 @@ def test_pipeline_against_its_stages_alone(spark):
             assert set(groups.values()) <= set(after)  # links are exact, so no group is larger than it should be
             assert len(before) - len(after) >= 0.9 * (len(before) - len(set(groups.values())))
         elif name == "pseudonyms":
-            assert after == {i: pii.Pseudonymiser().apply(t)[0] for i, t in before.items()}
+            assert after == {i: pii.Pseudonymiser(pii.KEY).apply(t)[0] for i, t in before.items()}
     rows = sorted(map(tuple, kept["packing"].drop("sequence_id", "offset").collect()))
     assert rows == sorted(map(tuple, C.run(spark, sf).drop("sequence_id", "offset").collect()))
     assert {r[0] for r in rows} == set(after)
