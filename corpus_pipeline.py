@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm import exact_dedup, near_text, packing, pii, quality
@@ -17,51 +17,50 @@ from tessella.llm.queries import tokenizer_path
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier scores 0.5 or more."""
+    """Rows that the quality classifier scores 0.5 or more, repeated ones too; null and empty texts have the score of the bias. An empty table stays empty."""
     weights = quality.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     scored = quality.score(docs, weights, keep=True)
     return scored.where(F.col(scored.columns[-1]) >= 0.5).select(*docs.columns)
 
 
-def _only(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """For each row (doc_id, text_sha256) of ``kept`` one of the rows of that id, which may be null, and text."""
-    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-    digest = F.sha2(F.coalesce(F.translate("text", upper, upper.lower()), F.lit("")).cast("binary"), 256)
-    keys = docs.select("doc_id", digest.alias("digest"))
-    twice = save(keys.groupBy("doc_id", "digest").count().where("count > 1").select(F.col("doc_id").alias("other_id"), "digest"), "repeats")
-
-    def same(ids: DataFrame, name: str):
-        return rows.doc_id.eqNullSafe(ids[name]) & (rows.digest == ids.digest)
-
-    rows = docs.withColumn("digest", digest)
-    wanted = kept.select(F.col("doc_id").alias("kept_id"), F.col("text_sha256").alias("digest"))
-    rows = rows.join(wanted, same(wanted, "kept_id"), "left_semi")
-    if not twice.isEmpty():
-        number = F.row_number().over(Window.partitionBy("doc_id", "digest").orderBy(*docs.columns))
-        many = rows.join(twice, same(twice, "other_id"), "left_semi").withColumn("number", number).where("number = 1")
-        rows = rows.join(twice, same(twice, "other_id"), "left_anti").select(*docs.columns).union(many.select(*docs.columns))
-    return rows.select(*docs.columns)
+def _row_keys(docs: DataFrame) -> tuple[DataFrame, str]:
+    """The documents and a long column that tells their rows apart: the id, or a new one where ids repeat or are null."""
+    if docs.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL").isEmpty():
+        return docs, "doc_id"
+    key = "row_key"
+    while key in docs.columns:
+        key = "_" + key
+    return save(docs.withColumn(key, F.monotonically_increasing_id()), "keyed"), key
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the largest id, of each group of equal texts; of repeated rows one. Null ids rank below all."""
-    return _only(docs, exact_dedup.exact_duplicates(docs).where("kept"))
+    """One row, that of the largest id, of each group of equal texts; of repeated rows one. Null ids rank below all, null texts are empty ones. An empty table stays empty."""
+    rows, key = _row_keys(docs)
+    dropped = exact_dedup.exact_duplicates(rows, row_col=key).where("NOT kept").select(F.col("row_key").alias("dropped_key"))
+    return rows.join(dropped, F.col(key) == F.col("dropped_key"), "left_anti").select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group whose five-word shingles are alike by 0.8 or more. Rows of one id are one document."""
-    found = near_text.similar_documents(docs).where("node <> root").select("node")
-    node = F.coalesce(docs.doc_id.cast("long"), F.lit(near_text.LOWEST))
-    return docs.join(found, node == found.node, "left_anti").select(*docs.columns)
+    """One row, that of the smallest id, of each group whose five-word shingles are alike by 0.8 or more; null ids come last, and of one id's rows the first read stays. Null texts are empty ones. An empty table stays empty."""
+    rows, key = _row_keys(docs)
+    found = near_text.similar_documents(rows, id_col=key)
+    if key == "doc_id":
+        dropped = found.where("node <> root").select(F.col("node").alias("dropped_key"))
+    else:
+        ids = rows.select(F.col(key).alias("node"), F.col("doc_id").cast("long").alias("id"))
+        own = save(found.join(ids, "node"), "near-groups")
+        first = own.groupBy("root").agg(F.min_by("node", F.struct(F.col("id").isNull(), "id", "node")).alias("first"))
+        dropped = own.join(first, "root").where("node <> first").select(F.col("node").alias("dropped_key"))
+    return rows.join(dropped, F.col(key) == F.col("dropped_key"), "left_anti").select(*docs.columns)
 
 
 def hide_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data replaced by pseudonyms; n_chars follows the new text."""
-    return pii.pseudonymise(docs, keep=True).withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+    """Personal data replaced by pseudonyms, with the session's key; n_chars follows the new text. Null texts stay null."""
+    return pii.pseudonymise(docs, pii.session_key(spark), keep=True).withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Places of all documents' tokens in sequences of 1024."""
+    """Places of all documents' tokens in sequences of 1024; null texts are the end id alone, and repeated rows are packed each."""
     return packing.pack(docs, tokenizer_path("byte_bpe_50k.json"))
 
 
