@@ -102,9 +102,56 @@ def device_edge(offset: C, place: C, scale: C) -> Column:
     return round_half_up(col(offset) + col(place) * col(scale))
 
 
-def overview_side(side: C, other: C, most: int = 512) -> Column:
+def overview_side(side: C, other: C, most: C = 512.0) -> Column:
     """A side of the overview that statistics are taken from, its longer side ``most``."""
-    return F.greatest(F.lit(1).cast("long"), round_half_up(col(side) * F.lit(float(most)) / F.greatest(col(side), col(other))))
+    return F.greatest(F.lit(1).cast("long"), round_half_up(col(side) * col(most).cast("double") / F.greatest(col(side), col(other))))
+
+
+def reduced_centre(tile: C, place: C, shift: C, lo: C, hi: C) -> Column:
+    """The source place that stands for a place of a tile decoded at 1 / 2^shift: the middle of what it covers, within [lo, hi)."""
+    span = F.shiftleft(F.lit(1).cast("long"), shift) if isinstance(shift, int) else F.pow(F.lit(2.0), col(shift)).cast("long")
+    middle = col(tile) + col(place) * span + F.floor(span / 2).cast("long")
+    return F.least(col(hi) - 1, F.greatest(col(lo), middle))
+
+
+def reduced_span(tile: C, shift: C, lo: C, hi: C) -> tuple[Column, Column]:
+    """First place and the one after the last of a reduced tile that [lo, hi) touches; the end is rounded up."""
+    span = F.pow(F.lit(2.0), col(shift)).cast("long")
+    return floor_long((col(lo) - col(tile)) / span), floor_long((col(hi) - col(tile) + span - 1) / span)
+
+
+def final_rows(bottom: C, lo: C, hi: C, out: C, mean: bool) -> Column:
+    """Output rows that are final once the source rows above ``bottom`` are read: a mean's half-filled row is not, a sampled row is when its source is."""
+    if mean:
+        return F.when(col(bottom) >= col(hi), col(out).cast("long")).otherwise(box_cell(col(bottom) - col(lo), col(hi) - col(lo), out))
+    rows = F.sequence(F.lit(0).cast("long"), col(out).cast("long") - 1)
+    return F.size(F.filter(rows, lambda i: nearest_source(i, lo, hi, out) < col(bottom))).cast("long")
+
+
+def fit_scale(page_w: C, page_h: C, client_w: C, client_h: C) -> Column:
+    return F.least(col(client_w) / col(page_w), col(client_h) / col(page_h))
+
+
+def zoom_bounds(fit: C, most: C = 64.0) -> tuple[Column, Column]:
+    """Least and greatest scale of a view whose page fits at ``fit``."""
+    return F.least(col(fit) * F.lit(0.5), F.lit(1.0)), F.greatest(col(most), col(fit) * F.lit(4.0))
+
+
+def clamp_offset(offset: C, size: C, client: C) -> Column:
+    """A view's offset along one side: a page smaller than the view stands in its middle, a larger one leaves no gap."""
+    return F.when(col(size) <= col(client), (col(client) - col(size)) / F.lit(2.0)).otherwise(F.least(F.lit(0.0), F.greatest(col(client) - col(size), col(offset))))
+
+
+def zoom_offset(offset: C, anchor: C, scale: C, after: C) -> Column:
+    """The offset after a change of scale that leaves the anchor's place where it is."""
+    return col(anchor) - (col(anchor) - col(offset)) * col(after) / col(scale)
+
+
+def bitmap_clip(edge0: C, edge1: C, client: C, size: C) -> tuple[Column, Column]:
+    """The part of a bitmap's side that shows where its device edges reach beyond the canvas."""
+    span = F.nullif(col(edge1) - col(edge0), F.lit(0).cast("long"))
+    first, last = F.greatest(F.lit(0).cast("long"), col(edge0)), F.least(col(client).cast("long"), col(edge1))
+    return (first - col(edge0)) / span * col(size), (last - col(edge0)) / span * col(size)
 
 
 def region_cost(lo_x: C, hi_x: C, lo_y: C, hi_y: C, fx: C, fy: C, tile_w: C, tile_h: C, out_w: C, out_h: C, bytes_per_pixel: C) -> Column:

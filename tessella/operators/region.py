@@ -57,21 +57,25 @@ def tile_keys(requests: DataFrame, tile_w: int, tile_h: int) -> DataFrame:
     return requests.where("x1 > x0 AND y1 > y0").withColumn("tx", F.explode(F.sequence(ax, bx - 1))).withColumn("ty", F.explode(F.sequence(ay, by - 1)))
 
 
-def sampled_tiles(lo: int, hi: int, out: int, tile: int, spark: SparkSession) -> DataFrame:
-    """Tiles along one side that hold at least one nearest sample."""
-    return spark.range(out).select(F.floor(G.nearest_source("id", lo, hi, out) / tile).cast("long").alias("tile")).distinct()
+def sampled_tiles(requests: DataFrame, lo: str, hi: str, out: str, tile: int) -> DataFrame:
+    """For each request its tiles along one side that hold at least one nearest sample, found within the row."""
+    cells = F.sequence(F.lit(0).cast("long"), F.col(out).cast("long") - 1)
+    tiles = F.array_distinct(F.transform(cells, lambda i: F.floor(G.nearest_source(i, F.col(lo), F.col(hi), F.col(out)) / tile).cast("long")))
+    return requests.withColumn("tile", F.explode(tiles))
 
 
-def choose_level(requests: DataFrame, levels: DataFrame) -> DataFrame:
-    """For each request (page, request columns, w, out_w): the narrowest level wide enough, else the page itself.
+def choose_level(requests: DataFrame, levels: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """For each request (its page's keys, w, out_w, any columns): the narrowest level wide enough, else the page itself.
 
-    ``levels`` has page, level, level_w; level 0 is the page. Its rows for one page are few, so the join is by page.
+    ``levels`` has the keys, level, level_w; level 0 is the page. A page's levels stand in one small array, so
+    requests meet them by one join on the keys and are not grouped.
     """
-    full = levels.where("level = 0").select("page", F.col("level_w").alias("page_w"))
-    keys = [c for c in requests.columns if c != "page"]
-    fits = requests.join(full, "page").join(levels, "page").where("level_w >= 0.98D * page_w * out_w / w")
-    best = fits.groupBy("page", *keys).agg(F.min_by("level", F.struct("level_w", -F.col("level"))).alias("level"))
-    return requests.join(best, ["page", *keys], "left").withColumn("level", F.coalesce("level", F.lit(0)))
+    keys = keys or ["page"]
+    rung = F.struct(F.col("level_w").cast("double").alias("w"), (-F.col("level")).alias("order"))
+    ladder = levels.groupBy(*keys).agg(F.array_sort(F.collect_list(rung)).alias("_ladder"), F.max(F.when(F.col("level") == 0, F.col("level_w"))).alias("_full"))
+    least = F.lit(0.98) * F.col("_full") * F.col("out_w") / F.col("w")
+    fits = F.filter("_ladder", lambda x: x["w"] >= least)
+    return requests.join(ladder, keys, "left").withColumn("level", F.coalesce(-F.get(fits, F.lit(0))["order"], F.lit(0))).drop("_ladder", "_full")
 
 
 def pyramid(df: DataFrame, width: int, height: int, levels: int) -> DataFrame:

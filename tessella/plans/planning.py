@@ -55,14 +55,14 @@ def visible_window(spark: S, d: str) -> DataFrame:
     return q.select("event_id", lo.alias("lo"), hi.alias("hi")).where("lo < hi")
 
 
-_VIEW = "(SELECT event_id, 300 + (event_id * 91) % 4000 AS cx, 200 + (event_id * 57) % 3000 AS cy FROM events WHERE event_id < 200)"
+_VIEW = "(SELECT event_id, 300 + (event_id * 91) % 4000 AS cx, 200 + (event_id * 57) % 3000 AS cy FROM events)"
 
 
 @query(f"""SELECT event_id, i, j, (row_number() OVER (PARTITION BY event_id ORDER BY dist, j, i) - 1)::INT AS urgency FROM (SELECT event_id, tx.i AS i, ty.i AS j, round(sqrt(((tx.i + 0.5::DOUBLE) * 512 - cx) ** 2 + ((ty.i + 0.5::DOUBLE) * 512 - cy) ** 2), 6) AS dist
     FROM {_VIEW} q, range(10) tx(i), range(8) ty(i) WHERE tx.i >= floor((cx - 300) / 512.0::DOUBLE) AND tx.i < ceil((cx + 300) / 512.0::DOUBLE) AND ty.i >= floor((cy - 200) / 512.0::DOUBLE) AND ty.i < ceil((cy + 200) / 512.0::DOUBLE))""")
 def visible_tiles_ranked(spark: S, d: str) -> DataFrame:
     """Tiles in view, those nearest to the centre first; ties in row order."""
-    q = views.table(spark, d, "events").where("event_id < 200").select("event_id", (300 + F.col("event_id") * 91 % 4000).alias("cx"), (200 + F.col("event_id") * 57 % 3000).alias("cy"))
+    q = views.table(spark, d, "events").select("event_id", (300 + F.col("event_id") * 91 % 4000).alias("cx"), (200 + F.col("event_id") * 57 % 3000).alias("cy"))
     windows = q.withColumns({"x0": F.col("cx") - 300, "x1": F.col("cx") + 300, "y0": F.col("cy") - 200, "y1": F.col("cy") + 200})
     tiles = region.tile_keys(windows, 512, 512)
     dist = F.round(G.distance((F.col("tx") + F.lit(0.5)) * 512 - F.col("cx"), (F.col("ty") + F.lit(0.5)) * 512 - F.col("cy")), 6)
@@ -104,28 +104,51 @@ def decode_batches(spark: S, d: str) -> DataFrame:
     return q.withColumn("reduction", G.jpeg_reduction("step", "tw", 64)).withColumn("batch", G.batch_tiles(F.col("tw") * F.col("tw") * 3).cast("long"))
 
 
-_IFDS = """(SELECT 'f' || (o_custkey % 50) AS path, row_number() OVER (PARTITION BY o_custkey % 50 ORDER BY o_orderkey, o_totalprice)::INT - 1 AS ifd, o_orderkey, o_totalprice FROM orders)"""
+_SUBFILE = "CASE o_orderkey % 6 WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 1 WHEN 3 THEN 4 WHEN 4 THEN 5 ELSE 2 END"
+_IFDS = f"""(SELECT path, ifd, {_SUBFILE} AS subfile, 1000 - (ifd % 7) * 90 AS width, 700 - (ifd % 7) * 60 AS height, CASE WHEN o_orderkey % 5 = 0 THEN 1 ELSE 3 END AS spp, 5000 + o_custkey * 37 AS size
+    FROM (SELECT 'f' || o_custkey AS path, o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey, o_totalprice)::INT - 1 AS ifd, o_orderkey FROM orders))"""
 
 
 def _ifds(spark: S, d: str) -> DataFrame:
-    """Directories of fifty files: a page, its levels, masks, and odd ones."""
-    orders = views.table(spark, d, "orders")
-    order = Window.partitionBy(F.col("o_custkey") % 50).orderBy("o_orderkey", "o_totalprice")
-    rows = orders.select(F.concat(F.lit("f"), (F.col("o_custkey") % 50).cast("string")).alias("path"), (F.row_number().over(order) - 1).alias("ifd"), "o_orderkey").where("ifd < 40")
-    return rows.select("path", "ifd", F.expr("CASE o_orderkey % 6 WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 1 WHEN 3 THEN 4 WHEN 4 THEN 5 ELSE 2 END").cast("int").alias("subfile"), F.expr("1000 - (ifd % 7) * 90").cast("long").alias("width"), F.expr("CASE WHEN o_orderkey % 5 = 0 THEN 1 ELSE 3 END").cast("long").alias("spp"))
+    """Directories of a file for each customer: a page, its levels, masks, and odd ones."""
+    order = Window.partitionBy("o_custkey").orderBy("o_orderkey", "o_totalprice")
+    rows = views.table(spark, d, "orders").select(F.concat(F.lit("f"), F.col("o_custkey").cast("string")).alias("path"), "o_custkey", (F.row_number().over(order) - 1).alias("ifd"), "o_orderkey")
+    columns = {"subfile": F.expr(_SUBFILE).cast("int"), "width": F.expr("1000 - (ifd % 7) * 90").cast("long"), "height": F.expr("700 - (ifd % 7) * 60").cast("long"), "spp": F.expr("CASE WHEN o_orderkey % 5 = 0 THEN 1 ELSE 3 END").cast("long"), "size": F.expr("5000 + o_custkey * 37")}
+    return rows.select("path", "ifd", *[v.alias(k) for k, v in columns.items()])
 
 
-@query(f"""WITH RECURSIVE i AS (SELECT path, ifd, CASE o_orderkey % 6 WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 1 WHEN 3 THEN 4 WHEN 4 THEN 5 ELSE 2 END AS subfile, 1000 - (ifd % 7) * 90 AS width, CASE WHEN o_orderkey % 5 = 0 THEN 1 ELSE 3 END AS spp FROM {_IFDS} o WHERE ifd < 40),
+#: Roles and pages of the directories, by a walk from each to the next.
+_ROLES = f"""WITH RECURSIVE i AS (SELECT * FROM {_IFDS} o),
     f AS (SELECT path, -1 AS ifd, '' AS role, -1 AS page, -1 AS pos, 0 AS pw, 0 AS ps FROM i WHERE ifd = 0 UNION ALL
       SELECT path, ifd, role, CASE WHEN role = 'mask' THEN -1 WHEN role = 'page' THEN pos + 1 ELSE pos END, CASE WHEN role = 'page' THEN pos + 1 ELSE pos END, CASE WHEN role = 'page' THEN width ELSE pw END, CASE WHEN role = 'page' THEN spp ELSE ps END
       FROM (SELECT i.path, i.ifd, i.width, i.spp, f.pos, f.pw, f.ps, CASE WHEN i.subfile % 2 = 1 AND f.pos >= 0 AND i.width < f.pw AND i.spp = f.ps THEN 'level' WHEN i.subfile % 2 = 0 AND i.subfile % 8 >= 4 THEN 'mask' ELSE 'page' END AS role
         FROM f JOIN i ON i.path = f.path AND i.ifd = f.ifd + 1)),
-    g AS (SELECT *, max(pos) OVER (PARTITION BY path) AS last FROM f WHERE ifd >= 0)
-    SELECT path, ifd::INT AS ifd, CASE WHEN role = 'mask' AND last < 0 THEN 'page' ELSE role END AS role, (CASE WHEN role = 'mask' AND last < 0 THEN ifd ELSE page END)::INT AS page FROM g""")
+    g AS (SELECT *, max(pos) OVER (PARTITION BY path) AS last FROM f WHERE ifd >= 0),
+    r AS (SELECT path, ifd::INT AS ifd, CASE WHEN role = 'mask' AND last < 0 THEN 'page' ELSE role END AS role, (CASE WHEN role = 'mask' AND last < 0 THEN ifd ELSE page END)::INT AS page FROM g),
+    l AS (SELECT i.*, r.page, (row_number() OVER (PARTITION BY i.path, r.page ORDER BY i.width DESC, i.ifd) - 1)::INT AS level FROM i JOIN r USING (path, ifd) WHERE r.role <> 'mask')"""
+
+
+@query(f"{_ROLES} SELECT path, ifd, role, page FROM r")
 def page_classification(spark: S, d: str) -> DataFrame:
     return pages.classify(_ifds(spark, d))
 
 
+@query(f"{_ROLES} SELECT path, page, level, ifd, width, first_value(width) OVER (PARTITION BY path, page ORDER BY level) AS page_w FROM l")
+def level_table(spark: S, d: str) -> DataFrame:
+    """Levels of each page by width."""
+    return pages.levels(_ifds(spark, d)).select("path", "page", "level", "ifd", "width", "page_w")
+
+
+@query(f"{_ROLES} SELECT path, sum(width * height)::BIGINT AS pixels, round(max(size) / sum(width * height)::DOUBLE, 9) AS bytes_per_pixel FROM l GROUP BY path")
+def page_pixels(spark: S, d: str) -> DataFrame:
+    return pages.bytes_per_pixel(pages.levels(_ifds(spark, d))).select("path", "pixels", F.round("bytes_per_pixel", 9).alias("bytes_per_pixel"))
+
+
+@query(f"{_ROLES}, c AS (SELECT path, page, count(*) AS n FROM l GROUP BY 1, 2) SELECT path, (SELECT count(*) FROM i WHERE i.path = c.path) AS ifds, count(*) AS pages, string_agg(n::VARCHAR, ',' ORDER BY page) AS levels FROM c GROUP BY path")
+def page_counts(spark: S, d: str) -> DataFrame:
+    return pages.counts(_ifds(spark, d)).select("path", "ifds", "pages", F.array_join(F.col("levels").cast("array<string>"), ",").alias("levels"))
+
+
 _CODES = "(SELECT p_partkey, [0, 1, 2, 3, 4, 5, 6, 8, 32844][1 + p_partkey % 9] AS ph, 1 + p_partkey % 5 AS spp, p_partkey % 2 = 0 AS has_map, p_partkey % 3 = 0 AS alpha FROM part)"
 _KIND = "CASE WHEN ph = 2 AND spp >= 3 THEN 'rgb' WHEN ph = 3 AND has_map THEN 'palette' WHEN ph = 5 AND spp >= 4 THEN 'cmyk' WHEN ph = 6 AND spp >= 3 THEN 'ycbcr' WHEN ph = 8 AND spp >= 3 THEN 'lab' WHEN ph < 9 THEN 'gray' WHEN spp >= 3 THEN 'rgb' ELSE 'gray' END"
 
@@ -145,7 +168,7 @@ _NAMES_SQL = "map {" + ", ".join(f"{k}: '{v}'" for k, v in sorted(text.COMPRESSI
 _COMP = [*sorted(text.COMPRESSION), 999]
 
 
-@query(f"""SELECT p_partkey, comp, coalesce(CASE WHEN comp NOT IN {text.SUPPORTED} THEN coalesce({_NAMES_SQL}[comp], 'Unknown (' || comp || ')') || ' compression is not supported.'
+@query(f"""SELECT p_partkey, comp, coalesce(CASE WHEN comp NOT IN {text.supported()} THEN coalesce({_NAMES_SQL}[comp], 'Unknown (' || comp || ')') || ' compression is not supported.'
     WHEN f AND bits NOT IN (16, 32, 64) THEN bits || '-bit floating point samples are not supported.' WHEN y AND comp <> 7 AND sub THEN 'Uncompressed chroma-subsampled YCbCr is not supported.' END, '') AS reason
     FROM (SELECT p_partkey, {_COMP}[1 + p_partkey % {len(_COMP)}] AS comp, p_partkey % 2 = 0 AS f, [8, 16, 24, 32, 64][1 + p_partkey % 5] AS bits, p_partkey % 3 = 0 AS y, p_partkey % 7 < 4 AS sub FROM part)""")
 def unsupported_reasons(spark: S, d: str) -> DataFrame:

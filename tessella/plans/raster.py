@@ -11,13 +11,24 @@ from tessella.operators import region, stats, views
 from tessella.plans.registry import E_SQL, L_SQL, STATS_SQL, T_SQL, box_sql, byte_sql, query
 
 S = SparkSession
-WHOLE = (0, 0, 64, 500)
+#: The whole embedding image in SQL; its height comes from the table.
+HEIGHT = "(SELECT coalesce(max(vec_id) + 1, 1) FROM embeddings)"
+WHOLE = (0, 0, 64, HEIGHT)
 
 
 def _whole(spark: S, d: str) -> tuple[int, int, int, int]:
-    """The window of the whole embedding image; the SQL says the same of 500 rows, ``WHOLE``."""
+    """The window of the whole embedding image."""
     most = views.table(spark, d, "embeddings").agg(F.max("vec_id")).first()[0]
-    return WHOLE[0], WHOLE[1], WHOLE[2], WHOLE[3] if most is None else max(WHOLE[3], most + 1)
+    return 0, 0, 64, 1 if most is None else most + 1
+
+
+def _grid_size(spark: S, d: str) -> tuple[int, int]:
+    """Width and height of the grid of line items."""
+    most = views.item_grid(spark, d).agg(F.max("x").alias("x"), F.max("y").alias("y")).first()
+    return (most["x"] or 0) + 1, (most["y"] or 0) + 1
+
+
+_GRID_SQL = f"(SELECT max(x) + 1 AS gw, max(y) + 1 AS gh FROM {L_SQL} l)"
 
 
 def _rounded(df: DataFrame, *bands: str) -> DataFrame:
@@ -43,10 +54,10 @@ def box_mean_upsample_holes(spark: S, d: str) -> DataFrame:
     return _rounded(region.box_mean(views.embedding_raster(spark, d), (3, 5, 13, 15), (12, 12), ["v"]))
 
 
-def _nearest_sql(window: tuple[int, int, int, int], out: tuple[int, int]) -> str:
+def _nearest_sql(window: tuple, out: tuple[int, int]) -> str:
     x0, y0, x1, y1 = window
-    return f"""SELECT ox, oy, x, y, v FROM (SELECT gx.i AS ox, gy.i AS oy, least({x1 - 1}, {x0} + floor((gx.i + 0.5::DOUBLE) * {x1 - x0} / {out[0]})::BIGINT) AS x,
-        least({y1 - 1}, {y0} + floor((gy.i + 0.5::DOUBLE) * {y1 - y0} / {out[1]})::BIGINT) AS y FROM range({out[0]}) gx(i) CROSS JOIN range({out[1]}) gy(i)) g JOIN {E_SQL} e USING (x, y)"""
+    return f"""SELECT ox, oy, x, y, v FROM (SELECT gx.i AS ox, gy.i AS oy, least({x1} - 1, {x0} + floor((gx.i + 0.5::DOUBLE) * ({x1} - {x0}) / {out[0]})::BIGINT) AS x,
+        least({y1} - 1, {y0} + floor((gy.i + 0.5::DOUBLE) * ({y1} - {y0}) / {out[1]})::BIGINT) AS y FROM range({out[0]}) gx(i) CROSS JOIN range({out[1]}) gy(i)) g JOIN {E_SQL} e USING (x, y)"""
 
 
 @query(_nearest_sql(WHOLE, (9, 40)))
@@ -69,20 +80,21 @@ def pyramid_build(spark: S, d: str) -> DataFrame:
     return region.pyramid(views.embedding_raster(spark, d), 64, 500, 3).select("level", "x", "y", F.round("v", 6).alias("v"))
 
 
-@query("SELECT round(lo, 6) AS lo, round(hi, 6) AS hi, round(p02, 6) AS p02, round(p98, 6) AS p98 FROM " + STATS_SQL.format(E_SQL + " e"))
+@query("SELECT round(lo, 6) AS lo, round(hi, 6) AS hi, round(p02, 6) AS p02, round(p98, 6) AS p98 FROM " + STATS_SQL.format(f"(SELECT v FROM {E_SQL} e WHERE (y * 64 + x) % greatest(1, 64 * {HEIGHT} // 1048576) = 0) p"))
 def stats_gray(spark: S, d: str) -> DataFrame:
-    return stats.stats(views.embedding_raster(spark, d), ["v"]).select(*[F.round(c, 6).alias(c) for c in ("lo", "hi", "p02", "p98")])
+    return stats.stats(views.embedding_raster(spark, d), ["v"], place=F.col("y") * 64 + F.col("x"), count=F.lit(64 * _whole(spark, d)[3])).select(*[F.round(c, 6).alias(c) for c in ("lo", "hi", "p02", "p98")])
 
 
-@query("SELECT round(lo, 6) AS lo, round(hi, 6) AS hi, round(p02, 6) AS p02, round(p98, 6) AS p98 FROM " + STATS_SQL.format(f"(SELECT unnest([b0, b2, b3]) AS v FROM {L_SQL} l) p"))
+@query("SELECT round(lo, 6) AS lo, round(hi, 6) AS hi, round(p02, 6) AS p02, round(p98, 6) AS p98 FROM " + STATS_SQL.format(f"(SELECT unnest([b0, b2, b3]) AS v FROM {L_SQL} l, {_GRID_SQL} g WHERE (y * gw + x) % greatest(1, gw * gh * 3 // 1048576) = 0) p"))
 def stats_pooled_rgb(spark: S, d: str) -> DataFrame:
-    return stats.stats(views.item_grid(spark, d), ["b0", "b2", "b3"]).select(*[F.round(c, 6).alias(c) for c in ("lo", "hi", "p02", "p98")])
+    w, h = _grid_size(spark, d)
+    return stats.stats(views.item_grid(spark, d), ["b0", "b2", "b3"], place=F.col("y") * w + F.col("x"), count=F.lit(w * h)).select(*[F.round(c, 6).alias(c) for c in ("lo", "hi", "p02", "p98")])
 
 
-@query(f"SELECT page_id, x, y, v FROM {T_SQL} t WHERE (y * 64 + x) % 3 = 0")
+@query(f"SELECT x, y, v FROM {E_SQL} e WHERE (y * 64 + x) % greatest(1, 64 * {HEIGHT} // 4096) = 0")
 def systematic_sample(spark: S, d: str) -> DataFrame:
-    rows = views.page_raster(spark, d)
-    return stats.systematic(rows, F.col("y") * 64 + F.col("x"), 3 * stats.SAMPLE).select("page_id", "x", "y", "v")
+    """Every step-th cell of the embedding image, the step such that fewer than 8192 stay."""
+    return stats.systematic(views.embedding_raster(spark, d), F.col("y") * 64 + F.col("x"), F.lit(64 * _whole(spark, d)[3]), most=4096)
 
 
 _REGION = box_sql(E_SQL, WHOLE, (7, 33))
@@ -90,7 +102,7 @@ _REGION = box_sql(E_SQL, WHOLE, (7, 33))
 
 def _tone(spark: S, d: str, mode: str) -> DataFrame:
     cells = region.box_mean(views.embedding_raster(spark, d), _whole(spark, d), (7, 33), ["v"]).withColumn("v", F.round("v", 6))
-    one = stats.stats(cells, ["v"])
+    one = stats.stats(cells, ["v"], place=F.col("oy") * 7 + F.col("ox"), count=F.lit(7 * 33))
     lo, hi = color.tone_range(mode, 32, False, True, True, "lo", "hi", "p02", "p98")
     return stats.with_stats(cells, one).select("ox", "oy", color.to_byte(F.round(color.stretch("v", lo, hi), 6)).alias("gray"))
 
@@ -125,7 +137,7 @@ def white_is_zero(spark: S, d: str) -> DataFrame:
 @query("SELECT vec_id AS id, 128 AS gray FROM embeddings")
 def flat_image_mid_grey(spark: S, d: str) -> DataFrame:
     flat = views.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.lit(7.0).alias("v"))
-    return stats.with_stats(flat, stats.stats(flat, ["v"])).select("id", color.to_byte(color.stretch("v", "lo", "hi")).alias("gray"))
+    return stats.with_stats(flat, stats.stats(flat, ["v"], place=F.col("id"), count=F.lit(_whole(spark, d)[3]))).select("id", color.to_byte(color.stretch("v", "lo", "hi")).alias("gray"))
 
 
 @query(f"SELECT x, y, CASE WHEN empty THEN 0 ELSE {byte_sql('b0 * 5')} END AS gray, CASE WHEN empty THEN 0 ELSE 255 END AS a FROM (SELECT *, b0 = 25 AS empty FROM {L_SQL} l)")
@@ -142,9 +154,9 @@ def nodata_mask_rgb(spark: S, d: str) -> DataFrame:
     return q.select("x", "y", (empty[0] & empty[1] & empty[2]).cast("int").alias("all_equal"), empty[0].cast("int").alias("first_equal"))
 
 
-@query(_round_sql(box_sql(L_SQL, (0, 0, 40, 60), (8, 6), "b0 b1", "NOT b0 = 25"), "b0 b1"))
+@query(_round_sql(box_sql(L_SQL, (0, 0, f"(SELECT max(x) + 1 FROM {L_SQL} w)", f"(SELECT max(y) + 1 FROM {L_SQL} h)"), (8, 6), "b0 b1", "NOT b0 = 25"), "b0 b1"))
 def nodata_mean(spark: S, d: str) -> DataFrame:
-    return _rounded(region.box_mean(views.item_grid(spark, d), (0, 0, 40, 60), (8, 6), ["b0", "b1"], color.is_empty("b0", 25.0)), "b0", "b1")
+    return _rounded(region.box_mean(views.item_grid(spark, d), (0, 0, *_grid_size(spark, d)), (8, 6), ["b0", "b1"], color.is_empty("b0", 25.0)), "b0", "b1")
 
 
 @query(f"SELECT p_partkey, least(39, greatest(0, p_size)) AS idx, {byte_sql('(least(39, greatest(0, p_size)) * 1500) / 257.0::DOUBLE')} AS r, {byte_sql('(least(39, greatest(0, p_size)) * 700 + 9) / 257.0::DOUBLE')} AS g, {byte_sql('(60000 - least(39, greatest(0, p_size)) * 1000) / 257.0::DOUBLE')} AS b FROM part")
@@ -205,7 +217,7 @@ def alpha_unassociated(spark: S, d: str) -> DataFrame:
     return _scaled(spark, d).select("x", "y", *_bytes((F.col("c0"), F.col("c1"), F.col("c2"))), color.to_byte("c3").alias("a"))
 
 
-@query(f"SELECT q.id, q.x, q.y, round(e.v, 6) AS v FROM (SELECT event_id AS id, (event_id * 7) % 70 AS x, (event_id * 13) % 600 AS y FROM events) q JOIN {E_SQL} e ON e.x = q.x AND e.y = q.y WHERE q.x < 64 AND q.y < 500")
+@query(f"SELECT q.id, q.x, q.y, round(e.v, 6) AS v FROM (SELECT event_id AS id, (event_id * 7) % 70 AS x, (event_id * 13) % 600 AS y FROM events) q JOIN {E_SQL} e ON e.x = q.x AND e.y = q.y WHERE q.x < 64 AND q.y < {HEIGHT}")
 def point_lookup(spark: S, d: str) -> DataFrame:
     """Points within bounds, one sample each; the others ask for nothing."""
     points = views.table(spark, d, "events").select(F.col("event_id").alias("id"), (F.col("event_id") * 7 % 70).alias("x"), (F.col("event_id") * 13 % 600).alias("y"))
@@ -250,20 +262,35 @@ def tile_prune_window(spark: S, d: str) -> DataFrame:
     return hit.groupBy("tx", "ty").agg(F.count("*").alias("n"), F.round(F.sum("v"), 4).alias("total"))
 
 
-@query("SELECT DISTINCT least(63, floor((i + 0.5::DOUBLE) * 64 / 5)::BIGINT) // 4 AS tile FROM range(5) r(i)")
+_SPARSE = "(SELECT event_id, 5 + event_id % 9 AS n, event_id % 40 AS lo, event_id % 40 + 30 + event_id % 25 AS hi FROM events)"
+_SPARSE_TILES = f"(SELECT DISTINCT event_id, least(hi - 1, lo + floor((i + 0.5::DOUBLE) * (hi - lo) / n)::BIGINT) // 4 AS tile FROM {_SPARSE} q, unnest(range(n)) r(i))"
+
+
+def _sparse(spark: S, d: str) -> DataFrame:
+    e = F.col("event_id")
+    return views.table(spark, d, "events").select("event_id", (5 + e % 9).alias("n"), (e % 40).alias("lo"), (e % 40 + 30 + e % 25).alias("hi"))
+
+
+@query(f"SELECT event_id, tile FROM {_SPARSE_TILES} t")
 def tile_prune_sparse(spark: S, d: str) -> DataFrame:
-    return region.sampled_tiles(0, 64, 5, 4, spark)
+    """Tiles of each request along one side that hold at least one nearest sample."""
+    return region.sampled_tiles(_sparse(spark, d), "lo", "hi", "n", 4).select("event_id", "tile")
 
 
-@query("SELECT min(tile) AS first, max(tile) + 1 AS after FROM (SELECT tile, tile - row_number() OVER (ORDER BY tile) AS k FROM (SELECT DISTINCT least(63, floor((i + 0.5::DOUBLE) * 64 / 11)::BIGINT) // 4 AS tile FROM range(11) r(i))) GROUP BY k")
+@query(f"SELECT event_id, min(tile) AS first, max(tile) + 1 AS after FROM (SELECT event_id, tile, tile - row_number() OVER (PARTITION BY event_id ORDER BY tile) AS k FROM {_SPARSE_TILES} t) GROUP BY event_id, k")
 def tile_islands(spark: S, d: str) -> DataFrame:
     from tessella.operators.requests import islands
 
-    return islands(region.sampled_tiles(0, 64, 11, 4, spark).withColumn("one", F.lit(1)), "tile", ["one"]).select("first", "after")
+    return islands(region.sampled_tiles(_sparse(spark, d), "lo", "hi", "n", 4), "tile", ["event_id"]).select("event_id", "first", "after")
+
+
+_ENTRIES = "(SELECT o_orderkey, o_orderkey % 3 AS plane, o_orderkey % 7 AS ty, o_orderkey % 5 AS tx, 5 + o_orderkey % 60 AS w, 7 + o_orderkey % 50 AS h FROM orders)"
 
 
-@query("SELECT p.i AS plane, y.i AS ty, x.i AS tx, y.i * 4 + x.i AS chunky, p.i * 64 + y.i * 4 + x.i AS planar FROM range(3) p(i), range(16) y(i), range(4) x(i)")
+@query(f"SELECT o_orderkey, ty * ((w * 16 + 15) // 16) + tx AS chunky, plane * ((w * 16 + 15) // 16) * ((h * 32 + 31) // 32) + ty * ((w * 16 + 15) // 16) + tx AS planar FROM {_ENTRIES} q")
 def tile_offsets_chunky_planar(spark: S, d: str) -> DataFrame:
-    tiles = spark.range(3).select(F.col("id").alias("plane")).crossJoin(spark.range(16).select(F.col("id").alias("ty"))).crossJoin(spark.range(4).select(F.col("id").alias("tx")))
-    across, down = G.tile_count(64, 16), G.tile_count(500, 32)
-    return tiles.select("plane", "ty", "tx", G.tile_index("tx", "ty", "plane", across, down, False).alias("chunky"), G.tile_index("tx", "ty", "plane", across, down, True).alias("planar"))
+    """Where a tile stands in the offset table of pages of 16 x 32 tiles, chunky and planar."""
+    k = F.col("o_orderkey")
+    rows = views.table(spark, d, "orders").select(k, (k % 3).alias("plane"), (k % 7).alias("ty"), (k % 5).alias("tx"), ((5 + k % 60) * 16).alias("w"), ((7 + k % 50) * 32).alias("h"))
+    across, down = G.tile_count(F.col("w"), 16), G.tile_count(F.col("h"), 32)
+    return rows.select("o_orderkey", G.tile_index("tx", "ty", "plane", across, down, False).alias("chunky"), G.tile_index("tx", "ty", "plane", across, down, True).alias("planar"))

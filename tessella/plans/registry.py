@@ -27,12 +27,12 @@ def query(sql: str | None, name: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-def box_sql(source: str, window: tuple[int, int, int, int], out: tuple[int, int], bands: str = "v", where: str = "TRUE") -> str:
-    """Box means with the whole output grid."""
+def box_sql(source: str, window: tuple, out: tuple[int, int], bands: str = "v", where: str = "TRUE") -> str:
+    """Box means with the whole output grid. The window's edges are numbers or SQL."""
     x0, y0, x1, y1 = window
     means = ", ".join(f"avg({b}) AS {b}" for b in bands.split())
     return f"""SELECT gx.i AS ox, gy.i AS oy, {', '.join(bands.split())} FROM range({out[0]}) gx(i) CROSS JOIN range({out[1]}) gy(i) LEFT JOIN (
-        SELECT least({out[0] - 1}, (x - {x0}) * {out[0]} // {x1 - x0}) AS ox, least({out[1] - 1}, (y - {y0}) * {out[1]} // {y1 - y0}) AS oy, {means} FROM {source} s
+        SELECT least({out[0] - 1}, (x - {x0}) * {out[0]} // ({x1} - {x0})) AS ox, least({out[1] - 1}, (y - {y0}) * {out[1]} // ({y1} - {y0})) AS oy, {means} FROM {source} s
         WHERE x >= {x0} AND x < {x1} AND y >= {y0} AND y < {y1} AND {where} GROUP BY 1, 2) m ON m.ox = gx.i AND m.oy = gy.i"""
 
 

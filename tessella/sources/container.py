@@ -1,15 +1,17 @@
 """The tagged raster container: classic and 64-bit offsets, either byte order; its index, and a writer.
 
-The index reads a file's directories only. A file is read through ``read_at`` (offset, length), so that
-the pixel data of a large file is never touched here.
+The index reads a file's directories only, and notes where the tables of its blocks stand. A file is read
+through ``read_at`` (offset, length), so that neither the pixel data nor the tables of a large file are
+touched here.
 """
 
 from __future__ import annotations
 
 import struct
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from dataclasses import dataclass, field
+from typing import NamedTuple
 
 import numpy as np
 
@@ -22,6 +24,14 @@ TILE_W, TILE_H, TILE_OFFSETS, TILE_COUNTS, EXTRA, FORMAT, JPEG_TABLES, SUBSAMPLI
 ReadAt = Callable[[int, int], bytes]
 
 
+class Table(NamedTuple):
+    """Where the offsets or byte counts of a page's blocks stand: their field type, number and place. They are read entry by entry."""
+
+    kind: int
+    count: int
+    at: int
+
+
 @dataclass
 class Directory:
     """One image directory, with the format's defaults for absent tags."""
@@ -29,6 +39,7 @@ class Directory:
     ifd: int
     little: bool
     tags: dict[int, tuple] = field(default_factory=dict)
+    tables: dict[int, Table] = field(default_factory=dict)
 
     def one(self, tag: int, default: int) -> int:
         got = self.tags.get(tag)
@@ -90,16 +101,35 @@ class Directory:
         got = self.tags.get(tag)
         return got[0].rstrip(b"\0").decode("utf-8", "replace").strip() or None if got and isinstance(got[0], bytes) else None
 
-    def blocks(self) -> Iterator[tuple[int, int, int, int, int]]:
-        """(tx, ty, plane, offset, byte count) of each tile or strip."""
-        offsets, counts = (self.tags.get(TILE_OFFSETS), self.tags.get(TILE_COUNTS)) if self.tiled else (self.tags.get(STRIP_OFFSETS), self.tags.get(STRIP_COUNTS))
-        across, down = -(-self.width // self.tile_width), -(-self.height // self.tile_height)
-        for plane in range(self.spp if self.planar else 1):
-            for ty in range(down):
-                for tx in range(across):
-                    k = (plane * down + ty) * across + tx
-                    if k < len(offsets or ()) and k < len(counts or ()):
-                        yield tx, ty, plane, int(offsets[k]), int(counts[k])
+    @property
+    def across(self) -> int:
+        return -(-self.width // self.tile_width) if self.tile_width else 0
+
+    @property
+    def down(self) -> int:
+        return -(-self.height // self.tile_height) if self.tile_height else 0
+
+    @property
+    def offsets(self) -> Table:
+        return self.tables.get(TILE_OFFSETS if self.tiled else STRIP_OFFSETS, Table(0, 0, 0))
+
+    @property
+    def counts(self) -> Table:
+        return self.tables.get(TILE_COUNTS if self.tiled else STRIP_COUNTS, Table(0, 0, 0))
+
+
+def entry_ranges(table: Table, runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Where a table's entries stand, as (offset, length), for runs [first, after) of them; beyond its end there are none."""
+    size = TYPES[table.kind][0] if table.kind else 1
+    return [(table.at + a * size, max(0, min(b, table.count) - a) * size) for a, b in runs]
+
+
+def entries(table: Table, data: bytes, little: bool) -> list[int]:
+    """Whole numbers of a table's bytes."""
+    if not table.kind:
+        return []
+    size, letter = TYPES[table.kind]
+    return list(struct.unpack(f"{'<' if little else '>'}{len(data) // size}{letter}", data[: len(data) // size * size]))
 
 
 def directories(read_at: ReadAt) -> list[Directory]:
@@ -120,6 +150,9 @@ def directories(read_at: ReadAt) -> list[Directory]:
         seen.add(at)
         n = struct.unpack(end + ("Q" if big else "H"), read_at(at, count_bytes))[0]
         raw = read_at(at + count_bytes, n * entry + word)
+        if len(raw) < n * entry:
+            raise ValueError("a directory that the file's end cuts off")
+        raw = raw.ljust(n * entry + word, b"\0")
         here = Directory(len(out), little)
         for k in range(n):
             tag, kind, count = struct.unpack_from(end + ("HHQ" if big else "HHI"), raw, k * entry)
@@ -127,6 +160,10 @@ def directories(read_at: ReadAt) -> list[Directory]:
             if not size:
                 continue
             value = raw[k * entry + entry - word : (k + 1) * entry]
+            if tag in (STRIP_OFFSETS, STRIP_COUNTS, TILE_OFFSETS, TILE_COUNTS):
+                inside = at + count_bytes + k * entry + entry - word
+                here.tables[tag] = Table(kind, count, inside if size * count <= word else struct.unpack(end + ("Q" if big else "I"), value)[0])
+                continue
             data = value[: size * count] if size * count <= word else read_at(struct.unpack(end + ("Q" if big else "I"), value)[0], size * count)
             if len(data) < size * count:
                 continue

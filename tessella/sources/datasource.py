@@ -10,7 +10,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
 from tessella.sources import container
-from tessella.sources.files import reader
+from tessella.sources.ranges import source
 
 ENDINGS = ("*.tif", "*.tiff", "*.TIF", "*.TIFF", "*.btf", "*.tf8", "*.tf2")
 
@@ -35,9 +35,9 @@ class RasterReader(DataSourceReader):
     def read(self, partition: Paths) -> Iterator[tuple]:
         for path in partition.paths:
             try:
-                read_at, size = reader(path)
-                for d in container.directories(read_at):
-                    yield path, size, d.ifd, d.one(container.SUBFILE, 0), d.width, d.height, d.spp, d.bits, d.one(container.COMPRESSION, 1), None
+                ranges = source(path)
+                for d in container.directories(ranges):
+                    yield path, ranges.size, d.ifd, d.one(container.SUBFILE, 0), d.width, d.height, d.spp, d.bits, d.one(container.COMPRESSION, 1), None
             except Exception as e:  # noqa: BLE001  the file's own row tells
                 yield path, None, None, None, None, None, None, None, None, str(e)
 

@@ -49,12 +49,8 @@ class Scheduler:
             self.running.remove(t)
             self.paused.append(t)
             acts.append(("pause", t))
-        while len(self.paused) > MOST_PAUSED:  # the oldest go; those that are wanted again stay
-            old = next((t for t in self.paused if t not in wanted), None)
-            if old is None:
-                break
-            self.paused.remove(old)
-            acts.append(("cancel", old))
+        while len(self.paused) > MOST_PAUSED:  # the oldest go, also if they are wanted again: then they start anew
+            acts.append(("cancel", self.paused.pop(0)))
         self.queue = [t for t in wanted if t not in self.running]
         return acts + self.pump()
 

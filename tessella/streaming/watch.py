@@ -5,9 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow.fs
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
 from pyspark.sql.types import StructType
 
+from tessella.streaming.requests import debounce
+
 
 class ChangeReader(SimpleDataSourceStreamReader):
     """Polls a folder. The offset is the time of the newest change seen, in nanoseconds, and the paths of that time."""
@@ -53,3 +57,8 @@ class FileChanges(DataSource):
 
     def simpleStreamReader(self, schema: StructType) -> SimpleDataSourceStreamReader:
         return ChangeReader(self.options["path"])
+
+
+def reloads(changes: DataFrame, gap: str = "300 milliseconds", late: str = "10 seconds") -> DataFrame:
+    """(path, fires, events): when a changed file is to be read again, once for each burst of changes. A file that can't be read then tells so in its index row."""
+    return debounce(changes.select("path", F.timestamp_micros("changed_us").alias("ts")), "path", "ts", gap, late)

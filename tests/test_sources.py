@@ -165,7 +165,7 @@ def test_failing_block_leaves_the_others(spark, tmp_path):
     page = tiff(rgb8(), 8)
     page["blocks"][1] = b"not deflate"
     (tmp_path / "x.tif").write_bytes(K.write_container([page]))
-    blocks = files.decode(files.tiles(files.index(files.files(spark, str(tmp_path))))).collect()
+    blocks = files.decode(files.runs(files.index(files.files(spark, str(tmp_path))))).collect()
     assert sum(b["error"] is not None for b in blocks) == 1 and len(blocks) == 5
 
 

@@ -28,7 +28,7 @@ def test_scheduler_invariants():
                     live.add(tile)
                 elif act == "cancel":
                     live.discard(tile)
-            assert len(s.running) <= R.MOST_RUNNING and len(s.paused) <= R.MOST_PAUSED + 14
+            assert len(s.running) <= R.MOST_RUNNING and len(s.paused) <= R.MOST_PAUSED
             assert live == set(s.running) | set(s.paused) and not set(s.running) & set(s.paused)
 
 
