@@ -35,6 +35,9 @@ from tessella.llm.common import blocks, save, shuffle_width, tune
 #: Tokens of the shortest run that counts; distinct pages it must stand on; asked tokens of a host that a task holds.
 DEPTH, PAGES, HOST_TOKENS = 8, 3, 1 << 20
 
+#: Hosts whose bodies are small enough to go to every task (16 bytes each).
+FEW_HOSTS = 1 << 19
+
 #: What follows a tag's name, up to its end: quotes count after an equals sign. Nothing is read twice.
 _REST = re.compile(r"(?:[^>=]|=\s*+(?:\"[^\"]*+\"|'[^']*+'|(?![\"'])))*+>")
 _NAME = re.compile(r"/?[a-zA-Z][^\s/>]*+")
@@ -366,14 +369,15 @@ def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_c
     each = named.select(F.xxhash64("host").alias("h"), F.inline(F.arrays_zip("texts", "containers")))
     texts = each.groupBy("h", "containers", F.xxhash64("texts").alias("text")).agg(F.max(F.char_length("texts")).alias("n"))
     sizes = texts.groupBy("h", "containers").agg(F.sum("n").alias("n"))
-    body = sizes.groupBy("h").agg(F.max(F.struct("n", "containers"))["containers"].alias("body"))
+    body = save(sizes.groupBy("h").agg(F.max(F.struct("n", "containers"))["containers"].alias("body")), "bodies")
+    if body.count() <= FEW_HOSTS:  # else pages and bodies meet by the host
+        body = F.broadcast(body)
     # a block stays in question or for good: in the body, in a marked part, or on a page without marks
     has_marks = F.exists("marks", lambda m: m)
     zipped = F.filter(F.arrays_zip("texts", "marks", "containers"), lambda b: (b["containers"] == F.col("body")) | b["marks"] | ~F.col("has_marks"))
     told = named.withColumn("has_marks", has_marks).join(body, F.xxhash64("host") == F.col("h"), "left").select("page_id", "url", "host", "body", zipped.alias("b"))
     told = told.select("page_id", "url", "host", F.col("b.texts").alias("blocks"), F.transform("b.containers", lambda c: c != F.col("body")).alias("asked"))
     some = F.exists("asked", lambda a: a)
-    told = save(told, "told")
     out = told.where(~some).select("page_id", "url", F.array_join("blocks", "\n\n").alias("text"))
     asked = told.where(some)
     if not asked.isEmpty():
