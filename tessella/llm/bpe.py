@@ -1,19 +1,19 @@
 """Operator 5: BPE encoding and decoding, exact to the tokenizers library.
 
-A text is encoded by tree concatenation. It is cut in leaves of ``LEAF`` characters, wherever these end,
-and the leaves of all texts at hand are encoded in one call of the library, which takes as many threads
-as the task has cores. Then halves are joined, two by two, up to the whole text: the words around the
-join are encoded anew, in windows that grow until they begin with the left half's tokens and end with
-the right half's. What lies before the window's first word and after its last one can't change then,
-as a word's end depends on the character after it alone, so the result is exact.
+A text is encoded by tree concatenation. It is cut in leaves of ``LEAF`` characters, wherever these end.
+The words of all leaves at hand are encoded in one call of the library, which takes as many threads as
+the task has cores; a worker keeps each distinct word's ids. Then halves are joined, two by two, up to the
+whole text: the words around the join are encoded anew, in windows that grow until they begin with the
+left half's ids of the window's first word and end with the right half's of its last. Tokens don't cross
+white space, so what lies before and after can't change and the result is exact.
 
-A run of over ``LONG_PIECE`` characters without a space is one word to the library, with no place inside
-to agree on. There the tree works on tokens: its leaves are encoded in parallel by the merges alone, and
-windows of tokens grow around each join. Merges make every token in just one way, so a sequence is the
-encoding of its text if all its adjacent pairs are; agreement at both ends is exact there too.
+A run of over ``LONG_PIECE`` characters without a space has no place inside to agree on. There the tree
+works on tokens: its leaves are encoded in parallel by the merges alone, and windows of tokens grow around
+each join. Merges make every token in just one way, so a sequence is the encoding of its text if all its
+adjacent pairs are; agreement at both ends is exact there too.
 
-``encode_many`` gives the same ids for operators that encode and go on (3 and 8): it cuts at spaces,
-where no token can cross, and keeps each distinct piece's ids in the worker.
+Byte-level vocabularies, whose tokens hold the space before a word, and operators that encode and go on
+(3 and 8) use ``encode_many``: it cuts at spaces and encodes each distinct piece once a worker.
 
 Nulls count as empty texts; empty texts have no ids; an empty table gives an empty one. A null id stays
 null. Columns of the input other than the id and the text are not read. Repeated rows give repeated rows.
@@ -40,8 +40,8 @@ from tessella.llm.common import blocks, claim, tune
 LEAF, FIRST_WINDOW = 1024, 4
 #: Pieces without a space of more characters have trees of tokens, from leaves of this length.
 LONG_PIECE, TOKEN_LEAF = 2048, 512
-#: Bytes of texts whose leaves are encoded at once.
-TREE_BYTES = 1 << 20
+#: New words that stand in one text for the library.
+WORDS_AT_ONCE = 4096
 #: A worker forgets its pieces beyond this number; this bounds memory and changes no result.
 MOST_PIECES = 300_000
 #: Characters of a text that are split at once.
@@ -62,6 +62,7 @@ def _bytes_of_names() -> dict[str, int]:
 
 #: Fixed: the characters that Unicode calls white space.
 _WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+_WHITE_SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 #: A run that has a tree of its own, with the white space before it: a word may begin with that.
 _UNSPLIT = re.compile(rf"[{_WHITE}]?[^{_WHITE}]{{{LONG_PIECE + 1},}}")
 
@@ -74,76 +75,40 @@ def _cores() -> int:
     return task.cpus() if task else 1
 
 
-def _untrimmed(spec):
-    """A tokenizer's description, with words' places that include the spaces they begin with."""
-    if isinstance(spec, dict):
-        return {k: False if k == "trim_offsets" else _untrimmed(v) for k, v in spec.items()}
-    return [_untrimmed(x) for x in spec] if isinstance(spec, list) else spec
+class _Leaf:
+    """Words ``low`` to ``high`` of a part's characters from ``begin`` to ``end``. Its first and last word may go on in other leaves."""
 
+    def __init__(self, part: str, begin: int, end: int, codes_of):
+        self.begin, self.end, self.starts, self.ends = begin, end, begin == 0, end == len(part)
+        self.words = part[begin:end].replace("\n", " ").split(" ")
+        self.codes = list(map(codes_of, self.words))
+        self.low, self.high = 0, len(self.words)
 
-class _Word(NamedTuple):
-    """A word of a half: its characters' places, its tokens, and the first one's place in its span."""
-
-    begin: int
-    end: int
-    ids: list[int]
-    place: int
-
-
-class _Span:
-    """Tokens ``first`` to ``after`` of an encoding whose text begins at a place of the whole."""
-
-    def __init__(self, encoding, base: int, ids: list[int] | None = None, first: int = 0, after: int | None = None):
-        self.encoding, self.base, self.first = encoding, base, first
-        self.ids = encoding.ids if ids is None else ids
-        self.after = len(self.ids) if after is None else after
-
-    @property
-    def is_whole(self) -> bool:
-        return self.first == 0 and self.after == len(self.ids)
-
-    def cut(self, first: int | None, after: int | None) -> _Span:
-        return _Span(self.encoding, self.base, self.ids, self.first if first is None else first, self.after if after is None else after)
-
-    def word(self, number: int) -> _Word:
-        first, after = self.encoding.word_to_tokens(number)
-        begin, end = self.encoding.word_to_chars(number)
-        return _Word(self.base + begin, self.base + end, self.ids[first:after], first)
-
-    def from_end(self, k: int) -> _Word | None:
-        """The word that is k words before the last one; None if the span has too few."""
-        if self.first == self.after:
+    def last_word(self, k: int) -> tuple[int, int] | None:
+        """Number and first character of a whole word at least k words before the last; None if there is none."""
+        i = len(self.words) - 1 - k
+        while i >= 0 and not self.words[i]:
+            i -= 1
+        if i < self.low or i >= self.high or i == 0 and not self.starts:
             return None
-        number = self.encoding.token_to_word(self.after - 1) - k
-        return self.word(number) if number >= self.encoding.token_to_word(self.first) else None
-
-    def from_start(self, k: int) -> _Word | None:
-        if self.first == self.after:
+        return i, self.end - sum(map(len, self.words[i:])) - (len(self.words) - 1 - i)
+
+    def first_word(self, k: int) -> tuple[int, int] | None:
+        """Number of a whole word at least k words after the first, and the place after it."""
+        i, n = k, len(self.words)
+        while i < n and not self.words[i]:
+            i += 1
+        if i < self.low or i >= self.high or i == n - 1 and not self.ends:
             return None
-        number = self.encoding.token_to_word(self.first) + k
-        return self.word(number) if number <= self.encoding.token_to_word(self.after - 1) else None
-
-    def starts_with(self, word: _Word) -> bool:
-        own = self.from_start(0)
-        return own is not None and own[:3] == word[:3]
-
-    def ends_with(self, word: _Word) -> bool:
-        own = self.from_end(0)
-        return own is not None and own[:3] == word[:3]
+        return i, self.begin + sum(map(len, self.words[: i + 1])) + i
 
 
 class _Half(NamedTuple):
-    """The tokens of a part's characters from ``begin`` to ``end``."""
+    """The ids of a part's characters from ``begin`` to ``end``: leaves, and ids between them."""
 
     begin: int
     end: int
-    spans: list[_Span]
-
-    def last_word(self, k: int) -> _Word | None:
-        return self.spans[-1].from_end(k)
-
-    def first_word(self, k: int) -> _Word | None:
-        return self.spans[0].from_start(k)
+    items: list[_Leaf | list[int]]
 
 
 class _Codes(dict):
@@ -167,14 +132,11 @@ class Encoder:
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "true" if _cores() > 1 else "false")
-        from tokenizers import Tokenizer, normalizers
+        from tokenizers import Tokenizer
 
         self.path, self.tokenizer = path, Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        #: The same for texts that are normalised already.
-        self.plain = Tokenizer.from_str(json.dumps(_untrimmed(json.loads(self.tokenizer.to_str()))))
-        self.plain.normalizer = normalizers.Sequence([])
         #: Joins made by windows, windows that had to grow, and joins that took both halves whole.
         self.joins = self.grown = self.whole = 0
         spec = json.loads(self.tokenizer.to_str())
@@ -229,10 +191,13 @@ class Encoder:
             return None
         return (word.lower() if self.drops_space else word), piece[len(word) :]
 
-    def _learn(self) -> None:
+    def _learn(self, by_words: bool = False) -> None:
+        """Encode the new pieces; ``by_words``: by the library alone."""
         new = self.pieces[self.known :]
         if not new:
             return
+        if by_words:
+            return self._learn_words(new)
         merger, encoded = self._merger(), {}
         plain = {i: x for i, x in enumerate(map(self._plain, new)) if x} if merger else {}
         if plain:
@@ -262,6 +227,30 @@ class Encoder:
         self.starts.frombytes((base + ends).astype(np.int64).tobytes())
         self.known = len(self.pieces)
 
+    def _learn_words(self, new: list[str]) -> None:
+        """Encode new pieces as the words of long texts, by the library; tokens belong to the piece in which they begin."""
+        long = [i for i, x in enumerate(new) if len(x) > LONG_PIECE]
+        texts, places = [], []
+        for k in range(0, len(new), WORDS_AT_ONCE):
+            some = ["" if len(x) > LONG_PIECE else x for x in new[k : k + WORDS_AT_ONCE]]
+            texts.append(" ".join(some))
+            places.append(np.cumsum([0, *(len(x) + 1 for x in some)])[:-1])
+        ids, owner = [], []
+        for k, (e, starts) in enumerate(zip(self.tokenizer.encode_batch(texts, add_special_tokens=False), places, strict=True)):
+            begin = np.fromiter((a for a, _ in e.offsets), np.int64, len(e))
+            ids.append(np.array(e.ids, np.uint32))
+            owner.append(k * WORDS_AT_ONCE + np.searchsorted(starts, begin, side="right") - 1)
+        for i in long:
+            own = self._long(new[i])
+            ids.append(np.array(own, np.uint32))
+            owner.append(np.full(len(own), i, np.int64))
+        flat, at = np.concatenate(ids), np.concatenate(owner)
+        order = np.argsort(at, kind="stable")
+        ends = len(self.flat) + np.cumsum(np.bincount(at, minlength=len(new)))
+        self.flat.frombytes(flat[order].astype(np.uint32).tobytes())
+        self.starts.frombytes(ends.astype(np.int64).tobytes())
+        self.known = len(self.pieces)
+
     def _merger(self):
         """A quicker engine for single pre-tokens: it merges whatever makes a token, by the tokens' order.
 
@@ -364,63 +353,90 @@ class Encoder:
 
     # -- whole texts by trees of their halves
 
+    def _ids(self, code: int) -> list[int]:
+        return self.flat[self.starts[code] : self.starts[code + 1]].tolist()
+
     def _join(self, part: str, left: _Half, right: _Half) -> _Half:
         """Two halves that stand next to each other in ``part`` as one."""
         self.joins += 1
-        words = FIRST_WINDOW
-        while (first := left.last_word(words)) and (last := right.first_word(words)):
-            window = _Span(self.plain.encode(part[first.begin : last.end], add_special_tokens=False), first.begin)
-            if window.starts_with(first) and window.ends_with(last):
-                middle = window.cut(0, len(window.ids) - len(last.ids))
-                return _Half(left.begin, right.end, [*left.spans[:-1], left.spans[-1].cut(None, first.place), middle, right.spans[0].cut(last.place, None), *right.spans[1:]])
+        a, b, words = left.items[-1], right.items[0], FIRST_WINDOW
+        while (first := a.last_word(words)) and (last := b.first_word(words)):
+            window = self.tokenizer.encode(part[first[1] : last[1]], add_special_tokens=False).ids
+            head, tail = self._ids(a.codes[first[0]]), self._ids(b.codes[last[0]])
+            cut = len(window) - len(tail)
+            if window[: len(head)] == head and window[cut:] == tail:
+                a.high, b.low = first[0], last[0]
+                return _Half(left.begin, right.end, [*left.items, window[:cut], *right.items])
             self.grown += 1
             words *= 2
         self.whole += 1  # the windows have grown to the halves' ends
-        both = self.plain.encode(part[left.begin : right.end], add_special_tokens=False)
-        return _Half(left.begin, right.end, [_Span(both, left.begin)])
+        both = _Leaf(part, left.begin, right.end, self.bare.__getitem__)
+        self._learn(by_words=True)
+        return _Half(left.begin, right.end, [both])
 
     def encode_trees(self, texts: list[str | None], leaf: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and the number of each text's, by tree concatenation."""
+        if not self.drops_space:
+            return self.encode_many(texts)
+        if len(self.pieces) > MOST_PIECES:
+            self.forget()
         leaf = leaf or LEAF
-        plans: list[list] = []  # for each text: ids, or a part and the place of its first leaf
-        leaves: list[str] = []
+        plans: list[list] = []  # for each text: codes, or a part and its leaves
 
         def grow(plan: list, part: str) -> None:
             if part:
-                plan.append((part, len(leaves)))
-                leaves.extend(part[k : k + leaf] for k in range(0, len(part), leaf))
+                plan.append((part, [_Half(k, min(k + leaf, len(part)), [_Leaf(part, k, min(k + leaf, len(part)), self.bare.__getitem__)]) for k in range(0, len(part), leaf)]))
 
         for text in texts:
             plan: list = []
             plans.append(plan)
             for own in (self.special_re.split(text) if self.special_re is not None and "<|" in text else [text]) if text else []:
                 if own in self.special:
-                    plan.append([self.special[own]])
+                    plan.append([-2 - self.special[own]])
                     continue
-                part, at = self.normalised(own), 0
-                for run in _UNSPLIT.finditer(part):
-                    grow(plan, part[at : run.start()])
-                    plan.append(self._unsplit(run[0]))
+                at = 0
+                for run in _UNSPLIT.finditer(own):
+                    grow(plan, own[at : run.start()])
+                    plan.append([self.bare[run[0].strip(_WHITE_SPACE)]])
                     at = run.end()
-                grow(plan, part[at:])
-        encoded = self.plain.encode_batch(leaves, add_special_tokens=False)
-        flat = array("I")
-        counts = np.zeros(len(texts), np.int64)
+                grow(plan, own[at:])
+        self._learn(by_words=True)
+        held: list[int] = []
+        sizes: list[tuple[int, int]] = []
         for i, plan in enumerate(plans):
-            before = len(flat)
+            before = len(held)
             for step in plan:
                 if isinstance(step, list):
-                    flat.extend(step)
+                    held += step
                     continue
-                part, place = step
-                level = [_Half(k, min(k + leaf, len(part)), [_Span(encoded[place + k // leaf], k)]) for k in range(0, len(part), leaf)]
+                part, level = step
                 while len(level) > 1:
                     level = [self._join(part, level[k], level[k + 1]) if k + 1 < len(level) else level[k] for k in range(0, len(level), 2)]
-                for half in level:
-                    for span in half.spans:
-                        flat.extend(span.ids if span.is_whole else span.ids[span.first : span.after])
-            counts[i] = len(flat) - before
-        return np.frombuffer(flat, np.uint32).copy() if len(flat) else np.zeros(0, np.uint32), counts
+                for item in level[0].items:
+                    held += [-2 - t for t in item] if isinstance(item, list) else item.codes[item.low : item.high]
+            sizes.append((i, len(held) - before))
+        counts = np.zeros(len(texts), np.int64)
+        return self._gather(held, sizes, counts), counts
+
+    def _gather(self, held: list[int], sizes: list[tuple[int, int]], counts: np.ndarray) -> np.ndarray:
+        """The ids of codes (-2 - id stands for an id); ``sizes`` says how many codes each text has, and its ids are counted."""
+        codes = np.array(held, np.int64)
+        flat, starts = np.frombuffer(self.flat, np.uint32).copy() if len(self.flat) else np.zeros(0, np.uint32), np.array(self.starts, np.int64)
+        extra = np.flatnonzero(codes < -1)
+        if len(extra):  # these stand behind the known pieces
+            flat = np.concatenate([flat, (-2 - codes[extra]).astype(np.uint32)])
+            starts = np.concatenate([starts, starts[-1] + 1 + np.arange(len(extra))])
+            codes[extra] = self.known + np.arange(len(extra))
+        n = starts[codes + 1] - starts[codes]
+        ends = np.cumsum(n)
+        total = int(ends[-1]) if len(ends) else 0
+        ids = flat[np.repeat(starts[codes] - (ends - n), n) + np.arange(total)]
+        ends = np.concatenate([[0], ends])
+        at = 0
+        for i, size in sizes:
+            counts[i] += ends[at + size] - ends[at]
+            at += size
+        return ids
 
     # -- whole texts by their pieces
 
@@ -434,22 +450,7 @@ class Encoder:
 
         def flush() -> None:
             self._learn()
-            codes = np.array(held, np.int64)
-            flat, starts = np.frombuffer(self.flat, np.uint32).copy() if len(self.flat) else np.zeros(0, np.uint32), np.array(self.starts, np.int64)
-            extra = np.flatnonzero(codes < -1)
-            if len(extra):  # special tokens stand behind the known pieces
-                flat = np.concatenate([flat, (-2 - codes[extra]).astype(np.uint32)])
-                starts = np.concatenate([starts, starts[-1] + 1 + np.arange(len(extra))])
-                codes[extra] = self.known + np.arange(len(extra))
-            n = starts[codes + 1] - starts[codes]
-            ends = np.cumsum(n)
-            total = int(ends[-1]) if len(ends) else 0
-            out.append(flat[np.repeat(starts[codes] - (ends - n), n) + np.arange(total)])
-            ends = np.concatenate([[0], ends])
-            at = 0
-            for i, size in sizes:
-                counts[i] += ends[at + size] - ends[at]
-                at += size
+            out.append(self._gather(held, sizes, counts))
             held.clear()
             sizes.clear()
 
@@ -507,7 +508,7 @@ def encode_decode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
-        for block in blocks(batches, "text", TREE_BYTES):
+        for block in blocks(batches, "text"):
             ids, counts = enc.encode_trees(block.column(1).to_pylist())
             rows: dict[str, list] = {"ids_sha256": [], "decoded_sha256": [], "ids": [], "decoded": []}
             ends = np.cumsum(counts)

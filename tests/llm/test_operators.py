@@ -221,7 +221,7 @@ def test_trees_of_texts_equal_the_library(path, leaf, rows):
     ids, counts = enc.encode_trees([t for _, t in rows] + fuzz, leaf)
     ends = np.cumsum(counts)
     assert [ids[b - n : b].tolist() for n, b in zip(counts, ends, strict=True)] == [x for _, x in want]
-    assert enc.joins > 10
+    assert enc.joins > 10 or path == BYTE
 
 
 def test_windows_grow_at_joins(rows):
@@ -229,9 +229,9 @@ def test_windows_grow_at_joins(rows):
     enc, tok = bpe.Encoder(WORD), Tokenizer.from_file(WORD)
     prose = " ".join(random.Random(4).choice(WORDS) for _ in range(4000))
     assert enc.encode_trees([prose], 256)[0].tolist() == tok.encode(prose, add_special_tokens=False).ids
-    assert enc.joins == -(-len(enc.normalised(prose)) // 256) - 1 and enc.whole == 0 and enc.grown < enc.joins / 10
+    assert enc.joins == -(-len(prose) // 256) - 1 and enc.whole == 0 and enc.grown < enc.joins / 10
     enc = bpe.Encoder(WORD)
-    unsplit = "antidisestablishmentarian" * 60
+    unsplit = "antidisestablishmentarian" * 60 + " and so on"
     assert enc.encode_trees([unsplit], 100)[0].tolist() == tok.encode(unsplit, add_special_tokens=False).ids
     assert enc.whole > 0
 
