@@ -16,6 +16,12 @@ def floor_long(x: Column) -> Column:
     return F.floor(x).cast("long")
 
 
+def rounded(v: C | str, digits: int = 6) -> Column:
+    """To so many decimals as SQL rounds: the scaled double's halves go away from zero."""
+    unit = F.lit(10.0**digits)
+    return F.round(col(v) * unit) / unit
+
+
 def nearest_source(i: C, lo: C, hi: C, out: C) -> Column:
     """The source coordinate that output cell i shows when [lo, hi) is sampled to ``out`` cells."""
     span = col(hi) - col(lo)

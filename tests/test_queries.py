@@ -1,12 +1,18 @@
 """Every raster query against DuckDB on the smallest tables, and the plans of the main ones."""
 
 import math
+import random
+from datetime import datetime
+from functools import reduce
 from pathlib import Path
 
 import duckdb
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
+from tessella.operators import views
 from tessella.plans.queries import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -66,3 +72,37 @@ def test_whole_image_grows_with_the_table(spark, tmp_path):
         assert max(r.gray for r in run(name) if r.oy <= 12) < 20  # the first 472 rows are the dark ones
     assert len(run("point_lookup")) == sum(k * 7 % 70 < 64 for k in range(600))
     assert run("diff_metrics")[0].max_diff > 3000  # a cell holds rows 492 to 503
+
+
+@pytest.fixture(scope="module")
+def tied(tmp_path_factory):
+    """2000 cells of 32 line items, half of them in each of two files. Discount and tax have means between two sixth decimals, and the files' sums, added, fall short of them."""
+    path, rng, bands = tmp_path_factory.mktemp("tied"), random.Random(5), []
+    for most in (10, 8):
+        while True:
+            cents = [rng.randrange(most + 1) for _ in range(32)]
+            first, last = (reduce(float.__add__, [c / 100 for c in half]) for half in (cents[:16], cents[16:]))
+            straight = reduce(float.__add__, [c / 100 for c in cents[16:]], first)
+            if sum(cents) % 2 and (first + last) / 32 < sum(cents) / 3200 <= straight / 32:
+                break
+        bands.append([c / 100 for c in cents])
+    (path / "lineitem.parquet").mkdir()
+    for k, half in enumerate((slice(0, 16), slice(16, 32))):
+        rows = [(50 * i, 1 + i * 0.0245, 40000.0 + i, datetime(1995, 1, 2), discount, tax) for i in range(2000) for discount, tax in zip(bands[0][half], bands[1][half], strict=True)]
+        columns = dict(zip(("l_partkey", "l_quantity", "l_extendedprice", "l_shipdate", "l_discount", "l_tax"), map(list, zip(*rows, strict=True)), strict=True))
+        pq.write_table(pa.table(columns), path / "lineitem.parquet" / f"{k}.parquet")
+    return str(path), [(sum(round(v * 100) for v in band) * 10**4 + 16) // 32 / 1e6 for band in bands]
+
+
+def _against_sql(spark, path, name):
+    c = duckdb.connect(config={"threads": 1})
+    c.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{path}/lineitem.parquet/*.parquet'")
+    got, want = QUERIES[name](spark, path), c.sql(ORACLE_SQL[name])
+    return sorted(got.select(*want.columns).toPandas().itertuples(index=False, name=None)), sorted(want.fetchall())
+
+
+def test_cmyk_of_means_between_two_decimals(spark, tied):
+    path, (discount, tax) = tied
+    assert {(r.b2, r.b3) for r in views.item_grid(spark, path).select("b2", "b3").distinct().collect()} == {(discount, tax)}
+    got, want = _against_sql(spark, path, "cmyk_to_rgb")
+    assert len(got) == 2000 and got == want
