@@ -171,11 +171,11 @@ _SCALED = f"(SELECT x, y, round(b0 * 5, 6) AS c0, round(b1 / 400, 6) AS c1, roun
 
 def _scaled(spark: S, d: str) -> DataFrame:
     """Four bands of about 0 to 255."""
-    return views.item_grid(spark, d).select("x", "y", F.round(F.col("b0") * 5, 6).alias("c0"), F.round(F.col("b1") / 400, 6).alias("c1"), F.round(F.col("b2") * 2500, 6).alias("c2"), F.round(F.col("b3") * 3000, 6).alias("c3"))
+    return views.item_grid(spark, d).select("x", "y", G.rounded(F.col("b0") * 5).alias("c0"), G.rounded(F.col("b1") / 400).alias("c1"), G.rounded(F.col("b2") * 2500).alias("c2"), G.rounded(F.col("b3") * 3000).alias("c3"))
 
 
 def _bytes(rgb: tuple) -> list:
-    return [color.to_byte(F.round(v, 6)).alias(n) for n, v in zip("rgb", rgb, strict=True)]
+    return [color.to_byte(G.rounded(v)).alias(n) for n, v in zip("rgb", rgb, strict=True)]
 
 
 def _bytes_sql(r: str, g: str, b: str) -> str:

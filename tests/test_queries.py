@@ -13,6 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessella.operators import views
+from tessella.plans import raster
 from tessella.plans.queries import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -106,3 +107,32 @@ def test_cmyk_of_means_between_two_decimals(spark, tied):
     assert {(r.b2, r.b3) for r in views.item_grid(spark, path).select("b2", "b3").distinct().collect()} == {(discount, tax)}
     got, want = _against_sql(spark, path, "cmyk_to_rgb")
     assert len(got) == 2000 and got == want
+
+
+def test_lab_of_means_between_two_decimals(spark, tied):
+    got, want = _against_sql(spark, tied[0], "lab_to_rgb")
+    assert len(got) == 2000 and got == want
+
+
+def test_channels_round_as_sql(spark, tmp_path):
+    """Quotients halfway between two sixth decimals, where the double's own text rounds the other way."""
+    prices = [52733.503, 52575.515, 52332.477, 40000.0002, 40000.0006]
+    rows = [(50 * i, 25.0, v, datetime(1995, 1, 2), 0.05, 0.04) for i, v in enumerate(prices)]
+    spark.createDataFrame(rows, "l_partkey long, l_quantity double, l_extendedprice double, l_shipdate timestamp_ntz, l_discount double, l_tax double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    got = raster._scaled(spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == sorted(c.sql(f"SELECT x, y, c0, c1, c2, c3 FROM {raster._SCALED} s").fetchall())
+
+
+def test_means_of_odd_values_are_as_sql(spark):
+    """Null, not finite, too large for exact sums, negative, and of more than six decimals."""
+    inf, nan = float("inf"), float("nan")
+    cells = [[None, None], [None, 2.5], [nan, 1.0], [inf, 1.0], [-inf, inf], [-inf], [1e15, 0.25], [3e9, -3e9, 0.75], [1e12 + 0.123456], [-0.0000015, -0.0000015], [1 / 3, 2 / 3, 1e-9], [12.3456785] * 3, [0.0]]
+    rows = [(k, v) for k, cell in enumerate(cells) for v in cell]
+    df = spark.createDataFrame(rows, "k int, v double")
+    got = df.groupBy("k").agg(views.exact_mean("v").alias("m")).collect()
+    c = duckdb.connect(config={"threads": 1})
+    c.execute("CREATE TABLE t (k INT, v DOUBLE)")
+    c.executemany("INSERT INTO t VALUES (?, ?)", rows)
+    assert _rows(map(tuple, got)) == _rows(c.sql("SELECT k, round(avg(v), 6) FROM t GROUP BY k").fetchall())
